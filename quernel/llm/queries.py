@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import copies, pairs, survivors
-from quernel.session import read
+from quernel.llm import copies, mixing, packing, pairs, reading, survivors, tokens
+from quernel.session import materialise, read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,4 +45,56 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("rows >= 2").select("id", F.col("type").alias("type_pos"), F.col("label").alias("label_pos"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_decision_pairs, p4_found, p4_entities, p5_found, p5_consistent)}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.token_sizes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return packing.pack(sizes, read(spark, sf_dir, "pack_sizes"))[0]
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    sizes = materialise(tokens.token_sizes(read(spark, sf_dir, "documents"), ["doc_id", "source"], "text"), "sizes")
+    asked, sources = mixing.plan(sizes, read(spark, sf_dir, "mix_targets"))
+    return mixing.mix(sizes, sources), asked, sources
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
+def _grades(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    model = reading.fit_passages(read(spark, sf_dir, "level_passages"))
+    return reading.grades(read(spark, sf_dir, "documents").drop("lang"), model, keys)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grades(spark, sf_dir, ["doc_id"]).where("level >= 3.5").select("doc_id")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.profile(_grades(spark, sf_dir, ["doc_id", "source"]))
+
+
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold errors of the model by language."""
+    errors = reading.fit_passages(read(spark, sf_dir, "level_passages")).errors
+    return spark.createDataFrame([(k, *v) for k, v in errors.items()], "lang string, parts int, mean_error double, right_side double")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_decision_pairs, p4_found, p4_entities, p5_found, p5_consistent,
+        p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_profile, p9_validation,
+    )
+}
