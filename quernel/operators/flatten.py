@@ -160,7 +160,7 @@ def _below(path: pa.Array, elder: pa.Array, emitted: np.ndarray) -> pa.Array:
 def _is_json(text: str) -> bool:
     try:
         json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return True
 
@@ -182,7 +182,7 @@ def _encoded(tape: Tape, rows, base, elder, place, paths, elders, emitted):
             if isinstance(json.loads(text), dict | list):
                 texts.append(text)
                 slots.append(i)
-        except ValueError:
+        except (ValueError, RecursionError):  # text in a string that is nested beyond the parser's depth stays a string
             pass
     name = np.array(slots, np.int64)
     at = tape.first[name]
