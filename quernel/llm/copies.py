@@ -95,4 +95,4 @@ def copies(keyed: DataFrame, ledger: CopyLedger) -> DataFrame:
 def representatives(nodes: DataFrame, keyed: DataFrame, ledger: CopyLedger) -> DataFrame:
     """The first row of every group as it is, with `copies`."""
     firsts = ledger.read().select(F.col("first").alias("pos"), F.col("copies").alias("copies_held"))
-    return nodes.join(firsts, "pos")
+    return nodes.drop("copies_held").join(firsts, "pos")

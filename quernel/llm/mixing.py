@@ -68,7 +68,7 @@ def mix(sizes: DataFrame, sources: dict[str, Source], key: str = "doc_id", seed:
     table = spark.createDataFrame([(s, x.rate) for s, x in sources.items()], "source string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53)
     times = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    out = sizes.join(F.broadcast(table), "source").withColumn("__n", times.cast("int")).where("__n > 0")
+    out = sizes.select(key, "source", "tokens").join(F.broadcast(table), "source").withColumn("__n", times.cast("int")).where("__n > 0")
     return out.select(key, "source", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), "tokens")
 
 

@@ -270,25 +270,29 @@ def fit(passages: list[tuple[str, int, str]], seed: int = 7) -> Model:
     return Model(books(list(range(len(passages)))), Trees().fit(x, y), (float(a), float(b)), errors)
 
 
-def fit_passages(passages: DataFrame) -> Model:
-    """A model of a table with lang, level and text; rows without them are left out; more than MOST_PASSAGES are an error."""
+def fit_passages(passages: DataFrame) -> Model | None:
+    """A model of a table with lang, level and text; rows without them, or in other languages, are left out; without any
+    there is no model; more than MOST_PASSAGES are an error."""
     held = passages.where("lang is not null and level between 1 and 5 and text is not null").select("lang", "level", "text").limit(MOST_PASSAGES + 1).collect()
     if len(held) > MOST_PASSAGES:
         raise ValueError(f"more than {MOST_PASSAGES} passages")
-    if not held:
-        raise ValueError("no passages to fit")
-    return fit([(r.lang, int(r.level), r.text) for r in sorted(held, key=lambda r: (r.lang, r.level, r.text))])
+    held = sorted((r.lang, int(r.level), r.text) for r in held if r.lang in LANGUAGES and r.text.strip())
+    return fit(held) if held else None
 
 
-def grades(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
+def grades(df: DataFrame, model: Model | None, keys: list[str], text: str = "text") -> DataFrame:
     """The key columns, lang (of the prose, whatever the table says), words, level (1 to 5, fractional) of each row; a
-    row without prose (null, blank, or nothing but code, logs and lists) has null lang and level. Whole texts are read.
+    row without prose (null, blank, or nothing but code, logs and lists) has null lang and level, and so has every row
+    without a model. Whole texts are read.
     """
     schema = df.select(*keys).schema
     clash = {"lang", "words", "level"} & set(keys)
     if clash:
         raise ValueError(f"key columns are named like results: {sorted(clash)}")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang string, words bigint, level double"])
+    if model is None:
+        none = {"lang": "string", "words": "bigint", "level": "double"}
+        return df.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     packed = cloudpickle.dumps(model)  # bounded by the passages
     name = "reading-" + hashlib.sha256(packed).hexdigest()
 
