@@ -103,3 +103,9 @@ def node_owner(rows: DataFrame) -> DataFrame:
     first = rows.where("id is not null").groupBy("id").agg(F.min_by("metadata", "pos").alias("args"))
     is_object = F.schema_of_variant(F.try_parse_json("args")).startswith("OBJECT")
     return first.select("id", F.when(is_object, F.coalesce(_text("$.metadata.conversation"), _text("$.conversation"))).alias("owner"))
+
+
+def replay_decisions(log: DataFrame) -> DataFrame:
+    """session, seq, category, outcome, confidence and the entities as text of each store's recorded decisions."""
+    w = stores(log).where("tool = 'record_decision'")
+    return w.select("session", "seq", _arg("$.category").alias("category"), _arg("$.outcome").alias("outcome"), _arg("$.confidence").cast("double").alias("confidence"), _arg("$.entities").alias("entities"))
