@@ -2,7 +2,8 @@
 
 Tokens are summed per source; a source's rate is what it should give over what it has. Each document is emitted
 floor(rate) times, and once more with probability rate - floor(rate), by a hash of its id and a seed, so a lost task
-makes the same choice again. Unless a total is asked for, it is the greatest at which no source hits its cap.
+makes the same choice again. Unless a total is asked for, it is the greatest at which no source hits its cap, so that all
+shares are reached; but not under `LEAST_PART` of the tokens at hand, so that one scarce source doesn't shrink all.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from quernel.session import checked_broadcast
 
 #: Sources a table of targets may name; their totals are gathered on the driver.
 MOST_SOURCES = 10_000
+LEAST_PART = 0.25
 
 
 @dataclass
@@ -36,7 +38,7 @@ def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: fl
     if not held:
         return held
     if total is None:
-        total = min(x.cap * x.tokens / x.share for x in held.values())
+        total = max(min(x.cap * x.tokens / x.share for x in held.values()), LEAST_PART * sum(x.tokens for x in held.values()))
     free, left = dict(held), float(total)
     while free:
         unit = left / sum(x.share for x in free.values())
