@@ -54,27 +54,28 @@ def hubs(scored: DataFrame, score: str, top: int = 15) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """pos, rank after exactly `rounds` power iterations; what nodes without out-edges hold is spread evenly.
 
-    The iteration is linear: rank_k is a combination of v_0 = 1, v_j = A v_(j-1), with A the damped walk without the spread
-    mass. The v_j need no scalar of the rounds before, so the loop runs no action but its checkpoints; the weights follow
-    at the end from how much of each v_j lies on nodes without out-edges, in one pass.
+    The iteration is linear: rank_k is a combination of v_0 = 1 and v_j = A v_(j-1), with A the damped walk without the
+    spread mass. A round is one join and one sum into a narrow table; no scalar of the rounds before is needed in it. How
+    much of each v_j lies on nodes without out-edges gives the weights of the combination at the end, in one pass.
     """
     links = materialise(numbered(nodes, edges), "links")
     out = links.groupBy("a").agg(F.count("*").alias("out"))
-    links = materialise(links.join(out, "a").repartition("a"), "links")
-    state = nodes.select(F.col("pos").alias("n")).join(out, F.col("n") == F.col("a"), "left").select("n", F.col("out").isNull().alias("sink"), F.array(F.lit(1.0)).alias("v"))
+    links = materialise(links.join(out, "a"), "links")
+    walk = nodes.select(F.col("pos").alias("n"), F.lit(1.0).alias("x"))
+    walks = walk.withColumn("j", F.lit(0))
     for j in range(1, rounds + 1):
-        given = links.join(state.select(F.col("n").alias("a"), F.get("v", F.lit(j - 1)).alias("x")), "a").groupBy("b").agg(F.sum(F.col("x") / F.col("out") * damping).alias("x"))
-        state = state.join(given, F.col("n") == F.col("b"), "left").select("n", "sink", F.concat("v", F.array(F.coalesce("x", F.lit(0.0)))).alias("v"))
-        if j % 5 == 0 or j == rounds:
-            state = materialise(state, "walks")
-    sums = state.agg(F.count("*"), *(F.sum(F.when(F.col("sink"), F.get("v", F.lit(j)))) for j in range(rounds + 1))).first()
-    n, on_sinks = sums[0], [x or 0.0 for x in sums[1:]]
+        given = links.join(walk.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.sum(F.col("x") / F.col("out") * damping).alias("x"))
+        walk = materialise(given, "walk")
+        walks = walks.unionByName(walk.withColumn("j", F.lit(j)))
+    sinks = walks.join(out.withColumnRenamed("a", "n"), "n", "left_anti").groupBy("j").agg(F.sum("x").alias("x"))
+    on_sinks = {r.j: r.x for r in sinks.collect()}  # one row a round
+    n = nodes.count()
     weights = [1.0 / max(n, 1)]  # of v_0, v_1, ...
     for _ in range(rounds):
-        leaked = sum(w * s for w, s in zip(weights, on_sinks, strict=False))
+        leaked = sum(w * on_sinks.get(j, 0.0) for j, w in enumerate(weights))
         weights = [(1 - damping + damping * leaked) / max(n, 1), *weights]
-    rank = F.aggregate(F.zip_with("v", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
-    return state.select(F.col("n").alias("pos"), rank.alias("rank"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("j") + 1)
+    return walks.groupBy(F.col("n").alias("pos")).agg(F.sum(F.col("x") * weight).alias("rank"))
 
 
 def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """SQL over the same tables that gives the core queries' rows another way."""
 
+from quernel.operators.timestamps import ABBREVIATIONS, MONTH_FIRST, MONTHS
+
 _OPEN = """CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid({v} ->> '$') AND json_type({v} ->> '$') IN ('OBJECT', 'ARRAY') THEN ({v} ->> '$')::JSON ELSE {v} END"""
 _OBJECTS = f"""
 docs AS (SELECT 'kg_nodes' AS tbl, 'properties' AS col, pos, properties::JSON AS v FROM kg_nodes WHERE json_valid(properties)
@@ -113,7 +115,62 @@ def _meta_tags(doc: str) -> str:
 
 _SETTINGS = """settings AS (SELECT session_id AS profile, coalesce(auto_on, false) AS has_plugin, CASE WHEN profile IS NULL THEN NULL WHEN locale = 'en-US' THEN '/home/x/' || session_id || '.json' ELSE '/srv/' || session_id || '.json' END AS path FROM kg_sessions)"""
 
+_CLOCK = r"(?:(?:T|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?\s*(?:([AaPp][Mm])\b)?)?"
+_PLACE = r"\s*\[?([+-]\d{1,2}:?\d{2}|[A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+)*)?\]?"
+_FORMS = [
+    (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}}){_CLOCK}{_PLACE}$", r"\1|\2|\3|\4|\5|\6|\7|\8|\9"),
+    (r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z?)$", r"\1|\2|\3|\4|\5|\6|||\7"),
+    (r"^(\d{4})(\d{2})(\d{2})$", r"\1|\2|\3||||||"),
+    (rf"^(?:\p{{L}}{{2,9}},?\s+)?(\d{{1,2}})\s+(\p{{L}}{{3}})\p{{L}}*\s+(\d{{4}}){_CLOCK}{_PLACE}$", r"\3|\2|\1|\4|\5|\6|\7|\8|\9"),
+    (r"^(\d{4})年(\d{1,2})月(\d{1,2})日(?:\s*(上午|下午)?\s*(\d{1,2}):(\d{2})(?::(\d{2}))?)?$", r"\1|\2|\3|\5|\6|\7||\4|"),
+    *((rf"^(\d{{4}}){k}(\d{{1,2}}){k}(\d{{1,2}}){_CLOCK}{_PLACE}$", r"\1|\2|\3|\4|\5|\6|\7|\8|\9") for k in ("/", r"\.")),
+]
+_NUMBERS = [rf"^(\d{{1,2}}){k}(\d{{1,2}}){k}(\d{{4}}){_CLOCK}{_PLACE}$" for k in ("/", r"\.")]
+_READ = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN regexp_replace(x, '{p}', '{to}')" for p, to in _FORMS)
+_READ += " ".join(f" WHEN regexp_matches(x, '{p}') THEN CASE WHEN locale IN {MONTH_FIRST} THEN regexp_replace(x, '{p}', '\\3|\\1|\\2|\\4|\\5|\\6|\\7|\\8|\\9') ELSE regexp_replace(x, '{p}', '\\3|\\2|\\1|\\4|\\5|\\6|\\7|\\8|\\9') END" for p in _NUMBERS) + " END"
+_MONTH = "CASE lower(p[2]) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MONTHS.items()) + " ELSE try_cast(p[2] AS INT) END"
+_SHORT = "CASE upper(p[9]) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ABBREVIATIONS.items()) + " ELSE CASE WHEN regexp_matches(p[9], '^[+-]') THEN CASE WHEN p[9][1] = '-' THEN -1 ELSE 1 END * (replace(p[9], ':', '')[2:-3]::INT * 60 + replace(p[9], ':', '')[-2:]::INT) END END"
+
+
+def _offset(us: str) -> str:
+    return f"(epoch_us(timezone(region, make_timestamptz({us}))) - ({us}))"
+
+
+def _moments(us: str, name: str) -> str:
+    early, late = _offset(f"{us} - 86400000000"), _offset(f"{us} + 86400000000")
+    a, b = f"({us} - {early})", f"({us} - {late})"
+    return f"CASE WHEN fixed IS NOT NULL THEN {us} - fixed WHEN {_offset(a)} = {early} THEN {a} END AS {name}_a, CASE WHEN fixed IS NULL AND {_offset(b)} = {late} THEN {b} END AS {name}_b, CASE WHEN fixed IS NULL THEN {a} END AS {name}_skip"
+
+
+def _parsed(source: str, out: str) -> str:
+    """Steps from (x, zone, locale) to local micros, offset, region."""
+    return f"""{out}1 AS (SELECT *, string_split({_READ}, '|') AS p FROM {source}),
+{out}2 AS (SELECT *, try_cast(p[1] || '-' || ({_MONTH}) || '-' || p[3] AS DATE) AS day, try_cast(p[4] AS INT) AS hour, lower(p[8]) AS half, ({_SHORT})::BIGINT * 60000000 AS fixed,
+  CASE WHEN p[9] <> '' THEN CASE WHEN p[9] IN (SELECT name FROM pg_timezone_names()) AND (contains(p[9], '/') OR p[9] = 'UTC') THEN p[9] END WHEN zone IN (SELECT name FROM pg_timezone_names()) THEN zone END AS region FROM {out}1),
+{out} AS (SELECT *, p IS NOT NULL AND (fixed IS NOT NULL OR region IS NOT NULL OR p[9] = '') AND ({_MONTH}) IS NOT NULL AS dated, p[4] = '' AS day_only,
+  epoch_us(day::TIMESTAMP) + CASE WHEN p[4] = '' THEN 0 WHEN p[5]::INT < 60 AND coalesce(try_cast(p[6] AS INT), 0) < 60 AND CASE WHEN half = '' THEN hour < 24 ELSE hour <= 12 END
+    THEN ((CASE WHEN half = '' THEN hour ELSE hour % 12 + CASE WHEN half IN ('pm', '下午') THEN 12 ELSE 0 END END * 60 + p[5]::INT) * 60 + coalesce(try_cast(p[6] AS INT), 0))::BIGINT * 1000000 + rpad(p[7][1:6], 6, '0')::INT END AS us FROM {out}2)"""
+
+
+_MOMENTS = f"""
+w0 AS (SELECT d.pos, d.recorded_at, d.valid_from, s.zone, s.locale, d.timestamp AS stamp, regexp_replace(d.timestamp, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM kg_decisions d LEFT JOIN kg_sessions s ON s.session_id = d.conversation),
+{_parsed("w0", "w")},
+w3 AS (SELECT *, {_moments("us", "m")} FROM w),
+r AS (SELECT pos, recorded_at, valid_from, zone, locale, CASE WHEN regexp_matches(x, '^[0-9]{{1,19}}(\\.[0-9]{{1,12}})?$') THEN floor(x::DECIMAL(32, 12) * CASE WHEN x::DECIMAL(32, 12) < 100000000000 THEN 1000000 WHEN x::DECIMAL(32, 12) < 100000000000000 THEN 1000 ELSE 1 END)::BIGINT
+  WHEN dated AND NOT day_only THEN least(m_a, m_b) END AS ref FROM w3),
+v0 AS (SELECT pos, 'recorded_at' AS field, recorded_at AS text, zone, locale, ref FROM r UNION ALL SELECT pos, 'valid_from', valid_from, zone, locale, ref FROM r),
+v00 AS (SELECT *, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM v0),
+{_parsed("v00", "v")},
+v3 AS (SELECT *, {_moments("us", "m")}, {_moments("us + 86400000000", "n")} FROM v),
+v4 AS (SELECT *, least(m_a, m_b) AS one, greatest(m_a, m_b) AS two, CASE WHEN NOT coalesce(dated, false) THEN 'none' WHEN fixed IS NULL AND region IS NULL THEN 'no zone' WHEN us IS NULL THEN 'impossible' WHEN day_only THEN 'day' WHEN m_a IS NULL AND m_b IS NULL THEN 'impossible' WHEN m_a <> m_b THEN 'twice' ELSE 'moment' END AS status FROM v3),
+moments AS (SELECT pos, field, text, status, ref, one, two, coalesce(one, m_skip) AS begin_, coalesce(greatest(n_a, n_b), n_skip) AS end_,
+  CASE WHEN ref IS NULL OR status IN ('none', 'no zone') THEN NULL WHEN status = 'impossible' THEN true WHEN status = 'day' THEN NOT (ref >= coalesce(one, m_skip) AND ref < coalesce(greatest(n_a, n_b), n_skip)) ELSE least(abs(one - ref), abs(two - ref)) >= 60000000 END AS disagrees FROM v4)
+"""
+
 ORACLES = {
+    "p2_found": f"WITH {_MOMENTS} SELECT pos, field FROM moments WHERE disagrees",
+    "p2_moments": f"""WITH {_MOMENTS} SELECT pos, field, text, status, make_timestamp(CASE WHEN status = 'day' THEN begin_ WHEN status IN ('moment', 'twice') THEN one END) AS utc,
+  make_timestamp(CASE WHEN status = 'day' THEN end_ WHEN status = 'twice' THEN two END) AS utc_other, make_timestamp(ref) AS ref, disagrees FROM moments""",
     "p3_found": f"WITH {_DANGLING} SELECT pos, endpoint FROM direct",
     "p3_report": f"""WITH RECURSIVE {_DANGLING},
 links AS (SELECT pos, source_id, target_id FROM kg_edges WHERE type IN ('belongs_to', 'part_of') AND source_id <> '' AND target_id <> '' AND source_id <> target_id),
