@@ -41,4 +41,13 @@ f AS (SELECT o.pos, count(*) FILTER (WHERE e.type <> 'NULL' AND NOT regexp_match
 b AS (SELECT id, count(*) AS n, arg_max(pos, (trust, written_at, pos)) FILTER (WHERE has_type) AS type, arg_max(pos, (written_at, pos)) FILTER (WHERE has_label) AS label,
   arg_max(pos, (filled, trust, written_at, pos)) FILTER (WHERE filled > 0) AS metadata FROM r LEFT JOIN f USING (pos) GROUP BY id)
 SELECT id, field, pos FROM (SELECT id, 'type' AS field, type AS pos FROM b WHERE n >= 2 UNION ALL SELECT id, 'label', label FROM b WHERE n >= 2 UNION ALL SELECT id, 'metadata', metadata FROM b WHERE n >= 2) WHERE pos IS NOT NULL""",
+    "p5_consistent": f"""WITH {_TRUSTED}, u AS (SELECT id, pos, trust, written_at, CASE WHEN has_type THEN type END AS t, CASE WHEN has_label THEN label END AS l FROM r),
+tv AS (SELECT id, t, max(trust) AS trust, arg_max(pos, (trust, written_at, pos)) AS pos, max((trust, written_at, pos)) AS rank FROM u WHERE t IS NOT NULL GROUP BY ALL), lv AS (SELECT id, l, max(trust) AS trust, arg_max(pos, (trust, written_at, pos)) AS pos, max((trust, written_at, pos)) AS rank FROM u WHERE l IS NOT NULL GROUP BY ALL),
+best AS (SELECT n.id, (SELECT arg_max({{'v': t, 'pos': pos}}, rank) FROM tv WHERE tv.id = n.id) AS t, (SELECT arg_max({{'v': l, 'pos': pos}}, rank) FROM lv WHERE lv.id = n.id) AS l FROM (SELECT id FROM u GROUP BY id HAVING count(*) >= 2) n),
+pairs AS (SELECT DISTINCT id, t, l FROM u WHERE t IS NOT NULL AND l IS NOT NULL),
+found AS (SELECT p.id, arg_max({{'t': tv.pos, 'l': lv.pos}}, (tv.trust + lv.trust, tv.pos, lv.pos)) AS c FROM pairs p JOIN tv USING (id, t) JOIN lv USING (id, l) GROUP BY p.id),
+alone AS (SELECT id, max({{'trust': trust, 'pos': pos}}) AS t FROM tv GROUP BY id), alone_l AS (SELECT id, max({{'trust': trust, 'pos': pos}}) AS l FROM lv GROUP BY id)
+SELECT id, CASE WHEN NOT open THEN best.t.pos WHEN c IS NOT NULL THEN c.t WHEN alone.t.trust >= alone_l.l.trust THEN alone.t.pos END AS type_pos,
+  CASE WHEN NOT open THEN best.l.pos WHEN c IS NOT NULL THEN c.l WHEN alone.t.trust < alone_l.l.trust THEN alone_l.l.pos END AS label_pos
+FROM (SELECT *, t IS NOT NULL AND l IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.id = best.id AND p.t = best.t.v AND p.l = best.l.v) AS open FROM best) best LEFT JOIN found USING (id) LEFT JOIN alone USING (id) LEFT JOIN alone_l USING (id)""",
 }

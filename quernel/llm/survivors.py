@@ -26,6 +26,8 @@ from quernel.session import checked_broadcast, materialise
 PLACEHOLDERS = ("null", "none", "n/a", "na", "n.a.", "?", "??", "???", "-", "--", "unknown", "not known", "undefined", "nil", "nan", "tbd", "unbekannt", "未知", "不详", "无")
 #: Parts into which the search of one group is cut.
 PARTS = 64
+#: What a filled bundle counts beside its trust: a choice that fills more bundles always wins.
+FILLED = 1e9
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,8 @@ def relaxed(rows: DataFrame, bundles: list[Bundle], group: str = "id") -> DataFr
 
 
 def best_bundles(rows: DataFrame, bundles: list[Bundle], constraints: tuple[tuple[str, str], ...] = (), group: str = "id") -> DataFrame:
-    """group, rows, and per bundle the pos of the row it is taken from; null where no row has a usable value.
+    """group, rows, and per bundle the pos of the row it is taken from; null where no row has a usable value, or where none
+    agrees with the others: a choice fills as many bundles as the constraints allow, and then has the greatest trust.
 
     `rows` has pos, trust and the fields. Groups of null aren't groups. Ties end at the largest pos, so the result is
     one. A null in an order ranks lowest. Without usable values in a constrained bundle, its constraints don't apply.
@@ -120,7 +123,7 @@ def best_bundles(rows: DataFrame, bundles: list[Bundle], constraints: tuple[tupl
     tops = {b.name: f"top_{b.name}" for b in order}
     names = [b.name for b in order]
     pairs = [(names.index(a), names.index(b)) for a, b in constraints]
-    flat = searched.select(group, hashed, "trust", *names, *(c for n in names for c in (F.col(tops[n])["trust"].cast("double").alias(f"t_{n}"), F.col(tops[n])[f"rank_{n}"]["pos"].alias(f"p_{n}"))))
+    flat = searched.select(group, hashed, "trust", *names, *(c for n in names for c in (F.when(F.col(n).isNotNull(), F.col(tops[n])["trust"] + FILLED).otherwise(0).cast("double").alias(f"t_{n}"), F.col(tops[n])[f"rank_{n}"]["pos"].alias(f"p_{n}"))))
     bound = flat.groupBy(group).agg(F.max(sum((F.col(f"t_{n}") for n in names[1:]), F.col(f"t_{names[0]}"))).alias("incumbent"), *(F.max(f"t_{n}").alias(f"most_{n}") for n in names))
     # bound of a branch: its first bundle's trust and the others' best; branches under the best whole row go unsearched
     live = flat.join(bound, group).where(F.col(f"t_{first}") + sum((F.col(f"most_{n}") for n in names[1:]), F.lit(0.0)) >= F.col("incumbent"))
@@ -133,16 +136,16 @@ def best_bundles(rows: DataFrame, bundles: list[Bundle], constraints: tuple[tupl
     parts = live.drop("incumbent").groupBy(group, "part").applyInPandas(search, schema)
     chosen = parts.groupBy(group).agg(F.max(F.struct("total", *(f"p_{n}" for n in names))).alias("c"))
     out = root.join(chosen, group, "left")
-    return out.select(group, "rows", *(F.coalesce(F.col("c")[f"p_{b.name}"], F.col(b.name)).alias(b.name) if b in order else F.col(b.name) for b in bundles))
+    return out.select(group, "rows", *(F.when(F.col("c").isNotNull(), F.col("c")[f"p_{b.name}"]).otherwise(F.col(b.name)).alias(b.name) if b in order else F.col(b.name) for b in bundles))
 
 
 def branch_and_bound(pdf: pd.DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> tuple[float, list]:
-    """Values of the bundles with the greatest sum of trusts such that each constrained pair stands in a row; among
+    """Values of the bundles, or none, with the greatest sum such that each constrained pair stands in a row; among
     equals, the greatest positions from the first bundle on."""
     options = []
     for n in names:
         held = pdf[pdf[n].notna()].sort_values([f"t_{n}", f"p_{n}"], ascending=False).drop_duplicates(n)
-        options.append([(t, p, v) for t, p, v in zip(held[f"t_{n}"], held[f"p_{n}"], held[n], strict=True)] or [(0.0, None, None)])
+        options.append([*zip(held[f"t_{n}"], held[f"p_{n}"], held[n], strict=True), (0.0, None, None)])
     support = [set(zip(pdf[names[a]], pdf[names[b]], strict=True)) for a, b in pairs]
     rest = [0.0] * (len(names) + 1)
     for i in range(len(names) - 1, -1, -1):

@@ -53,12 +53,23 @@ def test_branch_and_bound(spark):
         top = lambda f, v: max((trust[n[5]] for n in own.values() if f(n) == v), default=0)
         stands = {(t(n), la(n)) for n in own.values()}
         types, labels = {t(n) for n in own.values()} - {None} or {None}, {la(n) for n in own.values()} - {None} or {None}
-        total = max(top(t, a) * (a is not None) + top(la, b) * (b is not None) for a, b in product(types, labels) if a is None or b is None or (a, b) in stands)
+        worth = lambda a, b: (a is not None) * (top(t, a) + 1e9) + (b is not None) * (top(la, b) + 1e9)
+        total = max(worth(a, b) for a, b in product(types | {None}, labels | {None}) if a is None or b is None or (a, b) in stands)
         a, b = own[r.type] if r.type is not None else None, own[r.label] if r.label is not None else None
-        assert (a and trust[a[5]] or 0) + (b and trust[b[5]] or 0) == total
+        assert worth(a and t(a), b and la(b)) == total and (a is None or trust[a[5]] == top(t, t(a))) and (b is None or trust[b[5]] == top(la, la(b)))
         assert a is None or b is None or (t(a), la(b)) in stands
 
 
+def test_unusable_values_give_no_bound(spark):
+    nodes = [(1, "a", "T", "L", None, "poor", D1), (2, "a", "?", "M", None, "good", D2), (3, "a", "T", "N", None, "zero", D2)]
+    assert rows(best_bundles(frame(spark, nodes), consistent_bundles(), (("type", "label"),))) == [("a", 3, 1, 1)]
+
+
+def test_no_pair_at_all(spark):
+    nodes = [(1, "a", "T", None, None, "poor", D1), (2, "a", "?", "M", None, "good", D2)]
+    assert rows(best_bundles(frame(spark, nodes), consistent_bundles(), (("type", "label"),))) == [("a", 2, None, 2)]
+
+
 def test_root_is_kept_where_it_fits(spark):
     nodes = [(1, "a", "T", "L", None, "good", D1), (2, "a", "T", "M", None, "poor", D2)]
     assert rows(best_bundles(frame(spark, nodes), consistent_bundles(), (("type", "label"),))) == [("a", 2, 1, 1)]
