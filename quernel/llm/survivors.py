@@ -13,10 +13,13 @@ the first bundle's values into parts that are searched apart, with the best whol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,44 +126,63 @@ def best_bundles(rows: DataFrame, bundles: list[Bundle], constraints: tuple[tupl
     tops = {b.name: f"top_{b.name}" for b in order}
     names = [b.name for b in order]
     pairs = [(names.index(a), names.index(b)) for a, b in constraints]
-    flat = searched.select(group, hashed, "trust", *names, *(c for n in names for c in (F.when(F.col(n).isNotNull(), F.col(tops[n])["trust"] + FILLED).otherwise(0).cast("double").alias(f"t_{n}"), F.col(tops[n])[f"rank_{n}"]["pos"].alias(f"p_{n}"))))
+    flat = searched.select(
+        group, hashed, *(c for n in names for c in (F.col(n), F.when(F.col(n).isNotNull(), F.col(tops[n])["trust"] + FILLED).otherwise(0).cast("double").alias(f"t_{n}"), F.col(tops[n])[f"rank_{n}"]["pos"].alias(f"p_{n}")))
+    )
     bound = flat.groupBy(group).agg(F.max(sum((F.col(f"t_{n}") for n in names[1:]), F.col(f"t_{names[0]}"))).alias("incumbent"), *(F.max(f"t_{n}").alias(f"most_{n}") for n in names))
     # bound of a branch: its first bundle's trust and the others' best; branches under the best whole row go unsearched
     live = flat.join(bound, group).where(F.col(f"t_{first}") + sum((F.col(f"most_{n}") for n in names[1:]), F.lit(0.0)) >= F.col("incumbent"))
-    schema = f"{group} string, total double, " + ", ".join(f"p_{n} bigint" for n in names)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, at = branch_and_bound(pdf, names, pairs)
-        return pd.DataFrame([[pdf[group].iloc[0], total, *at]], columns=[group, "total", *(f"p_{n}" for n in names)])
-
-    parts = live.drop("incumbent").groupBy(group, "part").applyInPandas(search, schema)
+    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, total double, " + ", ".join(f"p_{n} bigint" for n in names)
+
+    titles = [group, "total", *(f"p_{n}" for n in names)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = []
+        for key, own in groupby(flow, itemgetter(0, 1)):  # a part at a time; parts come whole, one after the other
+            total, at = branch_and_bound([row[2:] for row in own], len(names), pairs)
+            found.append((key[0], total, *at))
+            if len(found) == 10_000:
+                yield _batch(found, titles)
+                found = []
+        if found:
+            yield _batch(found, titles)
+
+    whole = live.select(group, "part", *(c for n in names for c in (n, f"t_{n}", f"p_{n}"))).repartition(F.col(group), F.col("part")).sortWithinPartitions(group, "part")
+    parts = whole.mapInArrow(search, schema)
     chosen = parts.groupBy(group).agg(F.max(F.struct("total", *(f"p_{n}" for n in names))).alias("c"))
     out = root.join(chosen, group, "left")
     return out.select(group, "rows", *(F.when(F.col("c").isNotNull(), F.col("c")[f"p_{b.name}"]).otherwise(F.col(b.name)).alias(b.name) if b in order else F.col(b.name) for b in bundles))
 
 
-def branch_and_bound(pdf: pd.DataFrame, names: list[str], pairs: list[tuple[int, int]]) -> tuple[float, list]:
+def _batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True))
+    kinds = [None, pa.float64(), *[pa.int64()] * (len(names) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def branch_and_bound(rows: list[tuple], bundles: int, pairs: list[tuple[int, int]]) -> tuple[float, list]:
     """Values of the bundles, or none, with the greatest sum such that each constrained pair stands in a row; among
-    equals, the greatest positions from the first bundle on."""
-    options = []
-    for n in names:
-        held = pdf[pdf[n].notna()].sort_values([f"t_{n}", f"p_{n}"], ascending=False).drop_duplicates(n)
-        options.append([*zip(held[f"t_{n}"], held[f"p_{n}"], held[n], strict=True), (0.0, None, None)])
-    support = [set(zip(pdf[names[a]], pdf[names[b]], strict=True)) for a, b in pairs]
-    rest = [0.0] * (len(names) + 1)
-    for i in range(len(names) - 1, -1, -1):
+    equals, the greatest positions from the first bundle on. `rows` has value, worth and pos of each bundle in turn."""
+    options: list[list[tuple]] = []
+    for i in range(bundles):
+        held = {row[3 * i]: (row[3 * i + 1], row[3 * i + 2], row[3 * i]) for row in rows if row[3 * i] is not None}
+        options.append([*sorted(held.values(), key=lambda o: (-o[0], -o[1])), (0.0, None, None)])
+    support = [{(row[3 * a], row[3 * b]) for row in rows} for a, b in pairs]
+    rest = [0.0] * (bundles + 1)
+    for i in range(bundles - 1, -1, -1):
         rest[i] = rest[i + 1] + options[i][0][0]
-    best: list = [-1.0, [None] * len(names)]
+    best: list = [-1.0, [None] * bundles]
 
     def descend(i: int, total: float, taken: list) -> None:
-        if i == len(names):
+        if i == bundles:
             key = [-1 if p is None else p for _, p, _ in taken]
             if total > best[0] or total == best[0] and key > [-1 if p is None else p for p in best[1]]:
                 best[0], best[1] = total, [p for _, p, _ in taken]
             return
         for option in options[i]:
             if total + option[0] + rest[i + 1] < best[0]:
-                break  # options fall in trust: no later one can reach the incumbent
+                break  # options fall in worth: no later one can reach the incumbent
             row = [*taken, option]
             if all(row[a][2] is None or row[b][2] is None or (row[a][2], row[b][2]) in support[k] for k, (a, b) in enumerate(pairs) if max(a, b) == i):
                 descend(i + 1, total + option[0], row)
