@@ -108,10 +108,11 @@ class Tape:
         return pa.concat_arrays([keys, slots.cast(pa.large_string())]).take(pa.array(where))
 
 
-def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False) -> pa.Table:
-    """row, parent_path, path (and value, the object's own text) of every object that is an element of an array."""
+def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False, fields: bool = False) -> pa.Table:
+    """row, parent_path, path (and value, the object's own text) of every object that is an element of an array. With
+    `fields`, its contents instead: row, parent_path, path of the object, and name, type, value of each field."""
     found: list[pa.Table] = []
-    base = elder = pa.array(["$"] * len(texts), pa.large_string())
+    base = elder = grand = pa.array(["$"] * len(texts), pa.large_string())
     element = np.zeros(len(texts), bool)
     while len(texts):
         tape = Tape(texts)
@@ -120,10 +121,11 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False) -> pa
             if ok.all():
                 raise ValueError("structure of valid JSON not understood")
             texts, rows, element = texts.filter(pa.array(ok)), rows[ok], element[ok]
-            base, elder = base.filter(pa.array(ok)), elder.filter(pa.array(ok))
+            base, elder, grand = base.filter(pa.array(ok)), elder.filter(pa.array(ok)), grand.filter(pa.array(ok))
             continue
-        # of each container: path, nearest enclosing object that is an element (or the base), whether it is one itself
-        paths, elders, emitted = [], [], []
+        # of each container: path, nearest enclosing object that is an element (or the base), the one around that, whether
+        # it is one itself
+        paths, elders, grands, emitted = [], [], [], []
         place = np.zeros(len(tape.begin), np.int64)  # within its level
         for level, own in enumerate(tape.of_level, 1):
             place[own] = np.arange(len(own))
@@ -132,15 +134,19 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False) -> pa
                 row = tape.row(at)
                 paths.append(base.take(pa.array(row)))
                 elders.append(elder.take(pa.array(row)))
+                if fields:
+                    grands.append(grand.take(pa.array(row)))
                 emitted.append(element[row] & tape.is_object[own])
             else:
                 parent = tape.holder(at, level - 1)
                 name = np.searchsorted(tape.last, at) - 1
                 up = pa.array(place[parent])
                 paths.append(joined(paths[-1].take(up), tape.step(at, level - 1, parent, name)))
+                if fields:
+                    grands.append(_below(elders[-1], grands[-1], emitted[-1]).take(up))
                 elders.append(_below(paths[-2], elders[-1], emitted[-1]).take(up))
                 emitted.append(~tape.is_object[parent] & tape.is_object[own])
-            if emitted[-1].any():
+            if emitted[-1].any() and not fields:
                 take = pa.array(np.flatnonzero(emitted[-1]))
                 at = at[emitted[-1]]
                 table = {"row": pa.array(rows[tape.row(at)]), "parent_path": elders[-1].take(take), "path": paths[-1].take(take)}
@@ -148,9 +154,12 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False) -> pa
                     shut = tape.at[(tape.kind == CLOSE) & (tape.depth == level - 1)]
                     table["value"] = substrings(tape.data, at, shut[np.searchsorted(shut, at)] + 1)
                 found.append(pa.table(table))
-        texts, rows, base, elder, element = _encoded(tape, rows, base, elder, place, paths, elders, emitted)
-    none = {"row": pa.array([], pa.int64()), "parent_path": pa.array([], pa.large_string()), "path": pa.array([], pa.large_string())}
-    return pa.concat_tables(found) if found else pa.table(none | ({"value": pa.array([], pa.large_string())} if values else {}))
+        opened, *following = _encoded(tape, rows, base, elder, grand, place, paths, elders, grands, emitted)
+        if fields:
+            found += _fields(tape, rows, opened, place, paths, elders, grands, emitted)
+        texts, rows, base, elder, grand, element = following
+    added = ["parent_path", "path", *(["name", "type", "value"] if fields else ["value"] * values)]
+    return pa.concat_tables(found) if found else pa.table({"row": pa.array([], pa.int64())} | {c: pa.array([], pa.large_string()) for c in added})
 
 
 def _below(path: pa.Array, elder: pa.Array, emitted: np.ndarray) -> pa.Array:
@@ -165,8 +174,71 @@ def _is_json(text: str) -> bool:
     return True
 
 
-def _encoded(tape: Tape, rows, base, elder, place, paths, elders, emitted):
-    """String values that are the text of an object or array, with where they stand, as the next batch."""
+def _fields(tape: Tape, rows, opened, place, paths, elders, grands, emitted) -> Iterator[pa.Table]:
+    """Scalars, and empty arrays and objects, within objects that are elements, named by their path from the nearest one.
+    Strings that start at `opened` are containers of the next batch."""
+    # a value follows an opened array, a comma of an array or a colon, and goes on to the next mark
+    slot = np.flatnonzero((tape.kind[:-1] != CLOSE) & (tape.kind[1:] != OPEN))
+    begin, end = tape.at[slot] + 1, tape.at[slot + 1]
+    while (blank := (begin < end) & BLANK[tape.data[np.minimum(begin, len(tape.data) - 1)]]).any():
+        begin = begin + blank
+    while (blank := (begin < end) & BLANK[tape.data[end - 1]]).any():
+        end = end - blank
+    colon, level = tape.kind[slot] == COLON, tape.depth[slot]
+    empty = begin == end
+    hollow = np.isin(tape.begin, tape.at[slot[empty]])
+    scalar = np.flatnonzero(~empty & ~np.isin(begin, opened))
+    scalar = scalar[np.argsort(level[scalar], kind="stable")]
+    bounds = np.searchsorted(level[scalar], np.arange(1, len(tape.of_level) + 2))
+    for k, own in enumerate(tape.of_level, 1):
+        path, parent = _below(paths[k - 1], elders[k - 1], emitted[k - 1]), _below(elders[k - 1], grands[k - 1], emitted[k - 1])
+        inside = pc.not_equal(path, "$").to_numpy(zero_copy_only=False)
+        which = scalar[bounds[k - 1] : bounds[k]]
+        holder = tape.holder(begin[which], k) if len(which) else which
+        good = inside[place[holder]] & (colon[which] | ~tape.is_object[holder])
+        which, holder = which[good], holder[good]
+        if len(which):
+            up = pa.array(place[holder])
+            name = np.maximum(np.searchsorted(tape.last, begin[which]) - 1, 0)  # the key of a field in an object
+            full = joined(paths[k - 1].take(up), tape.step(begin[which], k, holder, name))
+            kind, value = _scalars(tape.data, begin[which], end[which])
+            path, parent = path.take(up), parent.take(up)
+            yield pa.table({"row": pa.array(rows[tape.row(begin[which])]), "parent_path": parent, "path": path, "name": _from(full, path), "type": kind, "value": value})
+        bare = np.flatnonzero(hollow[own] & ~emitted[k - 1] & pc.not_equal(elders[k - 1], "$").to_numpy(zero_copy_only=False))
+        if len(bare):
+            take = pa.array(bare)
+            path = elders[k - 1].take(take)
+            kind = pa.array(np.where(tape.is_object[own[bare]], "object", "array"), pa.large_string())
+            value = pa.array(np.where(tape.is_object[own[bare]], "{}", "[]"), pa.large_string())
+            yield pa.table({"row": pa.array(rows[tape.row(tape.begin[own[bare]])]), "parent_path": grands[k - 1].take(take), "path": path, "name": _from(paths[k - 1].take(take), path), "type": kind, "value": value})
+
+
+def _from(path: pa.Array, start: pa.Array) -> pa.Array:
+    """Paths without the path of the object where they start, and the dot after it."""
+    path, start = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (path, start))
+    ends = np.frombuffer(path.buffers()[1], np.int64)[path.offset : path.offset + len(path) + 1]
+    data = np.frombuffer(path.buffers()[2], np.uint8)
+    return substrings(data, ends[:-1] + pc.binary_length(start).to_numpy(zero_copy_only=False).astype(np.int64) + 1, ends[1:])
+
+
+def _scalars(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Type and value of JSON scalars: strings decoded, numbers and booleans as written, null for null."""
+    kinds = np.array(["number", "string", "boolean", "null"])
+    lead = data[begin]
+    kind = (lead == 0x22) * 1 + ((lead == 0x74) | (lead == 0x66)) * 2 + (lead == 0x6E) * 3
+    quoted = kind == 1
+    value = substrings(data, begin + quoted, end - quoted)
+    escaped = quoted & pc.match_substring(value, "\\").to_numpy(zero_copy_only=False)
+    if escaped.any():
+        # a lone surrogate has no UTF-8
+        decoded = [json.loads(f'"{v}"', strict=False).encode("utf-8", "replace").decode() for v in value.filter(pa.array(escaped)).to_pylist()]
+        value = pc.replace_with_mask(value, pa.array(escaped), pa.array(decoded, pa.large_string()))
+    value = pc.if_else(pa.array(kind == 3), pa.scalar(None, pa.large_string()), value)
+    return pa.array(kinds[kind], pa.large_string()), value
+
+
+def _encoded(tape: Tape, rows, base, elder, grand, place, paths, elders, grands, emitted):
+    """String values that are the text of an object or array: where they start, and with where they stand the next batch."""
     at = tape.first + 1
     while (blank := BLANK[tape.data[np.minimum(at, len(tape.data) - 1)]] & (at < tape.last)).any():
         at = at + blank
@@ -189,7 +261,8 @@ def _encoded(tape: Tape, rows, base, elder, place, paths, elders, emitted):
     before = np.searchsorted(tape.at, at) - 1
     level = np.where(before >= 0, tape.depth[np.maximum(before, 0)], 0) if len(tape.at) else np.zeros(len(at), np.int64)
     row = tape.row(at)
-    out_base, out_elder, flags, order = [base.take(pa.array(row[level == 0]))], [elder.take(pa.array(row[level == 0]))], [np.zeros((level == 0).sum(), bool)], [np.flatnonzero(level == 0)]
+    top = pa.array(row[level == 0])
+    out_base, out_elder, out_grand, flags, order = [base.take(top)], [elder.take(top)], [grand.take(top)], [np.zeros((level == 0).sum(), bool)], [np.flatnonzero(level == 0)]
     for k in np.unique(level[level > 0]):
         own = np.flatnonzero(level == k)
         parent = tape.holder(at[own], int(k))
@@ -197,22 +270,26 @@ def _encoded(tape: Tape, rows, base, elder, place, paths, elders, emitted):
         # the key of a string value is the string before it
         out_base.append(joined(paths[k - 1].take(up), tape.step(at[own], int(k), parent, np.maximum(name[own] - 1, 0))))
         out_elder.append(_below(paths[k - 1], elders[k - 1], emitted[k - 1]).take(up))
+        # without fields nothing reads it
+        out_grand.append(_below(elders[k - 1], grands[k - 1], emitted[k - 1]).take(up) if grands else out_elder[-1])
         flags.append(~tape.is_object[parent])
         order.append(own)
     order = np.concatenate(order)
     texts = pa.array(texts, pa.large_string()).take(pa.array(order))
-    return texts, rows[row[order]], pa.concat_arrays(out_base), pa.concat_arrays(out_elder), np.concatenate(flags)
+    return tape.first[name], texts, rows[row[order]], *(pa.concat_arrays(x) for x in (out_base, out_elder, out_grand)), np.concatenate(flags)
 
 
-def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = False) -> DataFrame:
+def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = False, fields: bool = False) -> DataFrame:
     """Every object that is an element of an array, at any depth of the JSON in column `text`: the key columns,
-    parent_path, path, and if asked for `value`, the object's own text.
+    parent_path, path, and if asked for `value`, the object's own text. With `fields`, one row for each field of these
+    objects instead: name, type and value besides. Fields are scalars and empty arrays and objects, which belong to the
+    nearest object around them that is an element; a name is the path from there, such as `a`, `a.b` or `a[0]`.
 
     parent_path is the nearest enclosing object that is itself an element, else '$'. Null, blank and broken text, and
     JSON without arrays of objects, give no rows; repeated rows give their rows each; other columns don't matter.
     """
     schema = df.select(*keys).schema
-    added = ["parent_path", "path", *["value"] * values]
+    added = ["parent_path", "path", *(["name", "type", "value"] if fields else ["value"] * values)]
     clash = set(added) & set(keys)
     if clash:
         raise ValueError(f"key columns are named like results: {sorted(clash)}")
@@ -225,7 +302,7 @@ def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = Fals
             begin = 0
             while begin < len(texts):
                 end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE_BYTES, side="right")))
-                part = flatten_texts(texts.slice(begin, end - begin), np.arange(begin, end), values)
+                part = flatten_texts(texts.slice(begin, end - begin), np.arange(begin, end), values, fields)
                 if part.num_rows:
                     keep = part.column("row").combine_chunks()
                     columns = [*(batch.column(i).take(keep) for i in range(len(keys))), *(part.column(c).combine_chunks().cast(pa.string()) for c in added)]
@@ -236,10 +313,10 @@ def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = Fals
     return held.mapInArrow(run, out)
 
 
-def nested_objects(columns: list[tuple[str, str, DataFrame]], key: str = "pos", values: bool = False) -> DataFrame:
+def nested_objects(columns: list[tuple[str, str, DataFrame]], key: str = "pos", values: bool = False, fields: bool = False) -> DataFrame:
     """`array_objects` over (table name, column, table) triples, as rows tbl, col, key, parent_path, path."""
     texts = None
     for table, column, df in columns:
         part = df.select(F.lit(table).alias("tbl"), F.lit(column).alias("col"), key, F.col(column).alias("text"))
         texts = part if texts is None else texts.unionByName(part)
-    return array_objects(texts, ["tbl", "col", key], "text", values)
+    return array_objects(texts, ["tbl", "col", key], "text", values, fields)

@@ -37,16 +37,21 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphans(spark, sf_dir).report()
 
 
-def _objects(spark: SparkSession, sf_dir: str, values: bool = False) -> DataFrame:
+def _objects(spark: SparkSession, sf_dir: str, fields: bool = False) -> DataFrame:
     nodes, edges = read(spark, sf_dir, "kg_nodes"), read(spark, sf_dir, "kg_edges")
     columns = [("kg_nodes", "properties", nodes), ("kg_nodes", "metadata", nodes), ("kg_edges", "properties", edges)]
-    return flatten.nested_objects(columns, values=values)
+    return flatten.nested_objects(columns, fields=fields)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, sf_dir)
 
 
+def p6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat tables' contents: each field of each object of `p6_found`."""
+    return _objects(spark, sf_dir, fields=True)
+
+
 def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat tables' sizes: one table for each array of objects, named by its path without slots."""
     name = F.regexp_replace("path", r"\[\d+\]", "[]").alias("name")
@@ -419,7 +424,7 @@ def source_resolution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_moments, p2_orders, p3_found, p3_report, p6_found, p6_tables,
+        p2_found, p2_moments, p2_orders, p3_found, p3_report, p6_found, p6_fields, p6_tables,
         graph_scan, live_nodes, tagged_nodes, untagged_nodes, semantic_nodes, relation_edges, clean_edges, dropped_edges, node_tags, edge_tags, node_labels, write_tools, status_counts,
         claim_by_edge, claim_by_entity, claim_satellites, scope_conversation, scope_conversation_edges, claim_conversation, untagged_decisions, scope_all, claim_all, scope_own, claim_own,
         graph_summary, nodes_by_type, bar_percent, adjacency, degree, out_degree, isolated_nodes, hubs_by_degree, pagerank, hubs_by_rank, connected_components, component_sizes,

@@ -1,13 +1,16 @@
 """Flattening against a recursive walk of parsed values."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernel.operators.flatten import Tape, array_objects, flatten_texts, nested_objects
+from quernel.plans.core_queries import QUERIES
 from tests.conftest import rows
 
 
@@ -84,3 +87,70 @@ def test_long_and_deep(spark):
     df = spark.createDataFrame([(1, long), (2, deep), (3, '{"a": "' + "[" * 2_000_000 + '"}')], "pos bigint, j string")
     got = array_objects(df, ["pos"], "j").groupBy("pos").count()
     assert rows(got) == [(1, 60_000), (2, 1)]
+
+
+def walked_fields(text):
+    out = []
+
+    def opened(v):
+        while isinstance(v, str):
+            try:
+                w = json.loads(v)
+            except ValueError:
+                return v
+            if not isinstance(w, dict | list):
+                return v
+            v = w
+        return v
+
+    def walk(v, path, owner, element):  # owner: parent_path and path
+        v = opened(v)
+        if isinstance(v, dict) and element:
+            owner = (owner[1], path)
+        elif owner[1] != "$" and (v in ({}, []) or not isinstance(v, dict | list)):
+            kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")
+            out.append((*owner, path[len(owner[1]) + 1 :], kind, None if v is None else v if isinstance(v, str) else json.dumps(v)))
+        for k, x in v.items() if isinstance(v, dict) else ():
+            walk(x, f"{path}.{k}", owner, False)
+        for i, x in enumerate(v) if isinstance(v, list) else ():
+            walk(x, f"{path}[{i}]", owner, True)
+
+    try:
+        walk(json.loads(text), "$", ("$", "$"), False)
+    except ValueError:
+        pass
+    return out
+
+
+FIELDS = ("row", "parent_path", "path", "name", "type", "value")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(nested, st.booleans(), st.sampled_from([None, 1])), max_size=6))
+def test_walk_fields(values):
+    texts = [json.dumps(v, ensure_ascii=a, indent=i) for v, a, i in values]
+    got = flatten_texts(pa.array(texts, pa.string()), np.arange(len(texts)), fields=True)
+    found = sorted(zip(*(got[c].to_pylist() for c in FIELDS), strict=True), key=repr)
+    assert found == sorted(((k, *x) for k, t in enumerate(texts) for x in walked_fields(t)), key=repr)
+
+
+def test_fields(spark):
+    text = '{"n": 0, "a": [{"b": 1.50, "s": "x\\"\\u00e9", "t": true, "z": null, "o": {"p": "q"}, "l": [1, [], {"m": 2}], "e": {}, "j": "{\\"k\\": [{\\"u\\": 3}]}"}, {}, 7]}'
+    df = spark.createDataFrame([(1, text), (2, None), (3, '{"a": [{"b": 1}')], "pos bigint, j string")
+    own, inner, deep = ("n", "j", 1, "$", "$.a[0]"), ("n", "j", 1, "$.a[0]", "$.a[0].l[2]"), ("n", "j", 1, "$.a[0]", "$.a[0].j.k[0]")
+    want = [
+        (*own, "b", "number", "1.50"), (*own, "s", "string", 'x"é'), (*own, "t", "boolean", "true"), (*own, "z", "null", None), (*own, "o.p", "string", "q"),
+        (*own, "l[0]", "number", "1"), (*own, "l[1]", "array", "[]"), (*own, "e", "object", "{}"), (*inner, "m", "number", "2"), (*deep, "u", "number", "3"),
+    ]
+    assert rows(nested_objects([("n", "j", df)], fields=True)) == sorted(want, key=repr)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_fields_of_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for table, column in (("kg_nodes", "properties"), ("kg_nodes", "metadata"), ("kg_edges", "properties")):
+        for r in spark.read.parquet(f"{sf}/{table}.parquet").select("pos", column).where(f"{column} is not null").collect():
+            want += [(table, column, r[0], *x[:4]) for x in walked_fields(r[1])]
+    got = [tuple(r)[:7] for r in QUERIES["p6_fields"](spark, sf).collect()]
+    assert len(want) > 1000 and sorted(got) == sorted(want)
