@@ -30,15 +30,16 @@ from quernel.session_worker import kept
 MOST_PASSAGES = 20_000
 LANGUAGES = ("en", "de", "zh")
 LEVELS = 5
-#: Words (characters / 2 in Chinese) under which a text has no prose.
-LEAST_WORDS = 3
 LONGEST = 24
 FOLDS, COPIES = 8, 12
 
-_LABEL = r"(?:[^\W\d_][\w ]{0,24}[:：]\s*)?(?:[-*+•]\s+)?"
+_LABEL = r"(?:[^\W\d_][\w ]{0,24}[:：]\s*)?(?:[-*+•][^\S\n]+)*"
 _NOT_PROSE = re.compile(
     r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)"  # code
     rf"|^[ \t]*{_LABEL}(?:\[?\d\d:\d\d:\d\d[^\n]*|\d{{4}}-\d\d-\d\d[T ]\d\d:[^\n]*|[\[{{][\"'{{\[][^\n]*[\]}}]|\|[^\n]*\||(?:[\w.~-]*/)+[\w.-]+)[ \t]*$"  # logs, JSON, tables, paths
+    r"|^[ \t]*(?:(?:const|let|var|final|export)[ \t]+)?[A-Za-z_][\w.\[\]]*[ \t]*[-+*/|&:]?=[ \t]*\S[^\n]*$"  # code without a fence: assignments,
+    r"|^[^\n]*(?:[{}]|=>|\w\([^()\n]*\);)[ \t]*$"  # blocks and calls,
+    r"|^[ \t]*(?:from [\w.]+ import [^\n]+|import [\w.]+(?: as \w+)?;?|(?:async )?(?:def|function) \w+\([^\n]*|\$ [^\n]+)$"  # imports, heads, commands
     r"|^[ \t]*#{1,6} [^\n]*$"  # headings
     r"|`[^`\n]*`|https?://\S+",
     re.M | re.S,
@@ -65,17 +66,17 @@ def counted(text: str) -> tuple[bool, Counter, int]:
     """Whether the prose is Chinese; its words or character pairs with counts; the number of sentences' ends."""
     text = prose(text)
     runs = _CJK.findall(text)
-    cjk = sum(map(len, runs))
-    if cjk * 3 >= sum(map(len, text.split())) - cjk and cjk:
+    words: Counter = Counter()
+    for token, n in Counter(text.split()).items():
+        if (w := word_of(token)) is not None and not _CJK.match(w):
+            words[w] += n
+    # against the letters of words only: paths and identifiers between the words are of no language
+    if runs and sum(map(len, runs)) * 3 >= sum(len(w) * n for w, n in words.items()):
         joined = "|".join(runs)
         pairs = Counter(map(str.__add__, joined, joined[1:]))
         for p in [p for p in pairs if "|" in p]:
             del pairs[p]
-        return True, pairs, len(_STOPS.findall(text))
-    words: Counter = Counter()
-    for token, n in Counter(text.split()).items():
-        if (w := word_of(token)) is not None:
-            words[w] += n
+        return True, pairs or Counter(runs), len(_STOPS.findall(text))  # without any pair, characters that stand alone
     return False, words, len(_STOPS.findall(text))
 
 
@@ -282,8 +283,8 @@ def fit_passages(passages: DataFrame) -> Model | None:
 
 def grades(df: DataFrame, model: Model | None, keys: list[str], text: str = "text") -> DataFrame:
     """The key columns, lang (of the prose, whatever the table says), words, level (1 to 5, fractional) of each row; a
-    row without prose (null, blank, or nothing but code, logs and lists) has null lang and level, and so has every row
-    without a model. Whole texts are read.
+    row without a word of prose (null, blank, or nothing but code, logs and lists) has null lang and level, and so has
+    every row without a model. Whole texts are read.
     """
     schema = df.select(*keys).schema
     clash = {"lang", "words", "level"} & set(keys)
@@ -300,8 +301,8 @@ def grades(df: DataFrame, model: Model | None, keys: list[str], text: str = "tex
         own = kept(name, lambda: cloudpickle.loads(packed))
         for batch in batches:
             level, language, words = own.grade([t or "" for t in batch.column(len(keys)).to_pylist()])
-            none = words < LEAST_WORDS
-            columns = [pa.array(np.array(LANGUAGES)[language], pa.string(), mask=none), pa.array(words.astype(np.int64)), pa.array(level, pa.float64(), mask=none)]
+            none = words == 0
+            columns = [pa.array(np.array(LANGUAGES)[language], pa.string(), mask=none), pa.array(np.maximum(words.astype(np.int64), ~none)), pa.array(level, pa.float64(), mask=none)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *columns], names=[*keys, "lang", "words", "level"])
 
     return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, out)

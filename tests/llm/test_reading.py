@@ -48,6 +48,18 @@ def test_grades(spark):
     assert grades(df, None, ["doc_id"]).where("level is not null").count() == 0
 
 
+def test_short_prose_has_a_level(spark):
+    model = fit([*PASSAGES, *[("zh", 1, t) for t in ("我有小灯。他很好。", "她有红鸟。水不高。")], *[("zh", 5, t) for t in ("认识论的可通约性以主体间的规范化为前提。", "概率异质性要求系统性的分化与归约。")]])
+    texts = ["她有白桥。表很大。", "灯不白。", "user: 船很红。", "好。", "Look.", "* 她有灯。\n* - sessions/viaduct/jade_0gtvs54.json\n* - sessions/station/eager_126m719.json"]
+    code = ["x = graph", "let a = b;", "return load(graph);", "if ready {", "import os", "from graph import nodes", "$ make all", "def run(self):", "* - * sessions/a_1/b.json", "- ", "[10:00:00] INFO a.b"]
+    df = spark.createDataFrame(list(enumerate(texts + code)), "doc_id int, text string")
+    got = {r.doc_id: r for r in grades(df, model, ["doc_id"]).collect()}
+    assert [got[k].lang for k in range(len(texts))] == ["zh", "zh", "zh", "zh", "en", "zh"]
+    assert all(got[k].level is not None and got[k].words > 0 for k in range(len(texts)))
+    assert all(got[len(texts) + k].level is None for k in range(len(code)))
+    assert prose("It holds; whatever\nfollows (see below);\nthe end.").split() == "It holds; whatever follows (see below); the end.".split()
+
+
 def test_passages_table(spark):
     df = spark.createDataFrame([*[(*p, "x") for p in PASSAGES], (None, 1, "a", "x"), ("en", None, "a", "x"), ("en", 9, "a", "x"), ("en", 2, None, "x"), ("fr", 2, "bon jour", "x")], "lang string, level int, text string, passage_id string")
     assert fit_passages(df).errors["en"][0] > 0
