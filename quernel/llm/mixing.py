@@ -3,7 +3,8 @@
 Tokens are summed per source; a source's rate is what it should give over what it has. Each document is emitted
 floor(rate) times, and once more with probability rate - floor(rate), by a hash of its id and a seed, so a lost task
 makes the same choice again. Unless a total is asked for, it is the greatest at which no source hits its cap, so that all
-shares are reached; but not under `LEAST_PART` of the tokens at hand, so that one scarce source doesn't shrink all.
+shares are reached. If asked for, it isn't under a part of the tokens at hand, so that one scarce source doesn't shrink all;
+the shares are missed then.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ class Source:
     rate: float = 0.0
 
 
-def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: float | None = None) -> dict[str, Source]:
+def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: float | None = None, least_part: float = LEAST_PART) -> dict[str, Source]:
     """Shares are scaled to the sources that have tokens. Beyond the greatest total that keeps all shares, sources at
     their cap stay there and the others take up what is missing, in proportion, until all are at their caps."""
     held = {s: Source(share, cap, have[s]) for s, (share, cap) in targets.items() if have.get(s, 0) > 0 and share > 0 and cap > 0}
@@ -38,7 +39,7 @@ def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: fl
     if not held:
         return held
     if total is None:
-        total = max(min(x.cap * x.tokens / x.share for x in held.values()), LEAST_PART * sum(x.tokens for x in held.values()))
+        total = max(min(x.cap * x.tokens / x.share for x in held.values()), least_part * sum(x.tokens for x in held.values()))
     free, left = dict(held), float(total)
     while free:
         unit = left / sum(x.share for x in free.values())
@@ -50,12 +51,14 @@ def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: fl
     return held
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[dict[str, tuple[float, int]], dict[str, Source]]:
+def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, least_part: float = 0.0) -> tuple[dict[str, tuple[float, int]], dict[str, Source]]:
+    """What the targets ask for, and the sources with their rates. Without a total the shares are held, however small the
+    mixture; with `least_part` it has at least that part of the tokens at hand, and scarce sources come short."""
     wanted = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     asked = {r.source: (r.share, r.cap) for r in wanted.limit(MOST_SOURCES).collect()}
     named = checked_broadcast(wanted.select("source"))
     have = {r.source: r.tokens for r in sizes.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    return asked, rates(asked, have, total)
+    return asked, rates(asked, have, total, least_part)
 
 
 def mix(sizes: DataFrame, sources: dict[str, Source], key: str = "doc_id", seed: int = 0) -> DataFrame:

@@ -115,6 +115,17 @@ def test_mix(spark):
     assert mix(sizes.limit(0), none[1]).count() == 0 and shares(mix(sizes.limit(0), none[1]), *none).count() == 3
 
 
+def test_scarce_source_keeps_its_share(spark):
+    sizes = spark.createDataFrame([(k, 10, "x", "x", "x", "x", 9.0, "scarce" if k < 40 else "big") for k in range(4040)], SIZES)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("scarce", 0.5, 2)], "source string, target_share double, max_repeats int")
+    asked, sources = plan(sizes, targets)
+    assert {s: x.rate * x.tokens for s, x in sources.items()} == pytest.approx({"big": 800, "scarce": 800})
+    r = {x.source: x for x in shares(mix(sizes, sources), asked, sources).collect()}
+    assert r["scarce"].copies == 80 and abs(r["scarce"].actual_share - 0.5) < 0.1
+    floor = plan(sizes, targets, least_part=0.25)[1]
+    assert sum(x.rate * x.tokens for x in floor.values()) == pytest.approx(0.25 * 40_400) and floor["scarce"].rate == 2
+
+
 @pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no tokenizer file")
 def test_tokens(spark):
     texts = [None, "", " \n", "hello <|endoftext|> 中文 ß", "a" * 300_000]
