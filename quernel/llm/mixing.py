@@ -55,7 +55,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, least
     """What the targets ask for, and the sources with their rates. Without a total the shares are held, however small the
     mixture; with `least_part` it has at least that part of the tokens at hand, and scarce sources come short."""
     wanted = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    asked = {r.source: (r.share, r.cap) for r in wanted.limit(MOST_SOURCES).collect()}
+    rows = wanted.limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    asked = {r.source: (r.share, r.cap) for r in rows}
     named = checked_broadcast(wanted.select("source"))
     have = {r.source: r.tokens for r in sizes.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     return asked, rates(asked, have, total, least_part)

@@ -153,9 +153,12 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> tuple[
 
     `sizes` has the key (unique, bigint) and tokens; texts of 0 tokens come out once per kind with a null bin. `containers` has
     container, capacity_tokens; kinds of null or no capacity are left out, and no kinds or no texts give no rows. Bins
-    are numbered from 0 in each kind. Of texts of equal size, which goes where follows the key.
+    are numbered from 0 in each kind; more than MOST_CONTAINERS kinds are an error. Of texts of equal size, which goes where follows the key.
     """
-    kinds = {r.container: int(r.capacity_tokens) for r in containers.where("capacity_tokens > 0 and container is not null").limit(MOST_CONTAINERS).collect()}
+    held = containers.where("capacity_tokens > 0 and container is not null").limit(MOST_CONTAINERS + 1).collect()
+    if len(held) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
+    kinds = {r.container: int(r.capacity_tokens) for r in held}
     if not kinds:
         return sizes.sparkSession.createDataFrame([], f"{key} bigint, container string, capacity int, piece bigint, start bigint, tokens bigint, bin bigint"), {}
     salted = pieces(sizes, key, kinds).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int"))

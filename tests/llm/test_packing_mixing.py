@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from quernel.llm import mixing, packing
 from quernel.llm.mixing import mix, plan, rates, shares
 from quernel.llm.packing import best_fit, fill_report, pack, reduce_instance, solve
 from quernel.llm.tokens import TOKENIZER, encoder, token_sizes
@@ -115,6 +116,18 @@ def test_mix(spark):
     assert mix(sizes.limit(0), none[1]).count() == 0 and shares(mix(sizes.limit(0), none[1]), *none).count() == 3
 
 
+def test_nothing_is_dropped_beyond_the_most(spark, monkeypatch):
+    sizes = spark.createDataFrame([(k, 10, "x", "x", "x", "x", 9.0, f"s{k}") for k in range(3)], SIZES)
+    targets = spark.createDataFrame([(f"s{k}", 0.3, 1) for k in range(3)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(packing, "MOST_CONTAINERS", 2)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        pack(sizes, kinds(spark, 10, 16, 20))
+    with pytest.raises(ValueError, match="more than 2"):
+        plan(sizes, targets)
+    assert pack(sizes, kinds(spark, 10, 16))[0].count() == 6 and len(plan(sizes, targets.limit(2))[1]) == 2
+
+
 def test_scarce_source_keeps_its_share(spark):
     sizes = spark.createDataFrame([(k, 10, "x", "x", "x", "x", 9.0, "scarce" if k < 40 else "big") for k in range(4040)], SIZES)
     targets = spark.createDataFrame([("big", 0.5, 1), ("scarce", 0.5, 2)], "source string, target_share double, max_repeats int")
