@@ -17,11 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def p1_decision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.frequent_pairs(pairs.decision_baskets(read(spark, sf_dir, "kg_decisions")))
+def _measured(found: DataFrame) -> DataFrame:
     return found.select("id_a", "id_b", "together", "count_a", "count_b", "baskets", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
+def p1_decision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(pairs.frequent_pairs(pairs.decision_baskets(read(spark, sf_dir, "kg_decisions"))))
+
+
+def p1_conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(pairs.frequent_pairs(pairs.conversation_baskets(read(spark, sf_dir, "kg_nodes"))))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = copies.keyed_nodes(read(spark, sf_dir, "kg_nodes"))
     return copies.copies(keyed, copies.collapse(keyed))
@@ -94,7 +101,7 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_decision_pairs, p4_found, p4_entities, p5_found, p5_consistent,
+        p1_found, p1_decision_pairs, p1_conversation_pairs, p4_found, p4_entities, p5_found, p5_consistent,
         p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_profile, p9_validation,
     )
 }

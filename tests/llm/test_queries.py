@@ -5,8 +5,11 @@ from pathlib import Path
 import pytest
 
 from quernel.llm.oracles import ORACLES
+from quernel.llm.pairs import Thresholds, conversation_baskets
 from quernel.llm.queries import QUERIES
+from quernel.session import read
 from tests.check_sql import SF, differs
+from tests.llm.test_pairs import brute
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
@@ -16,6 +19,17 @@ def test_sql(spark, name):
     assert differs(spark, QUERIES[name], ORACLES[name]) is None
 
 
+def test_conversation_pairs(spark):
+    members = conversation_baskets(read(spark, SF, "kg_nodes")).collect()
+    want = {(a, b): (c, na, nb, n, round(c * n / (na * nb), 6)) for a, b, c, na, nb, n in brute([tuple(r) for r in members], Thresholds())}
+    got = QUERIES["p1_conversation_pairs"](spark, SF).collect()
+    assert {(r.id_a, r.id_b): (r.together, r.count_a, r.count_b, r.baskets, pytest.approx(r.lift)) for r in got} == want and len(got) == len(want)
+    for r in got:
+        rest = 1 - r.together / r.count_a
+        assert r.conviction == (pytest.approx((1 - r.count_b / r.baskets) / rest, abs=1e-5) if rest else None)
+    assert {(r.id_a, r.id_b) for r in got} == {(r.id_a, r.id_b) for r in QUERIES["p1_found"](spark, SF).where("basket = 'conversation'").collect()}
+
+
 def test_packed(spark):
     packed = QUERIES["p7_packed"](spark, SF).collect()
     load = {}
