@@ -47,6 +47,7 @@ _NOT_PROSE = re.compile(
 _SPEAKER = re.compile(r"^[ \t]*(?:[^\W\d_][\w ]{0,24}[:：])(?=\s|$|[㐀-鿿])", re.M)
 _CJK = re.compile(r"[㐀-䶿一-鿿]+")
 _EDGE = ".,;:!?\"'()[]{}<>*_-–—…«»„“”‘’`|/\\#~=+&%·、。，；：！？（）「」『』《》"
+_STOPS_ZH = re.compile(r"(?:(?<=[㐀-鿿])[.!?]|[。！？])+(?=\s|$|[㐀-鿿])")
 _STOPS = re.compile(r"[.!?。！？]+(?=\s|$|[㐀-鿿])")
 
 
@@ -62,22 +63,45 @@ def word_of(token: str) -> str | None:
     return w.lower()
 
 
-def counted(text: str) -> tuple[bool, Counter, int]:
-    """Whether the prose is Chinese; its words or character pairs with counts; the number of sentences' ends."""
-    text = prose(text)
-    runs = _CJK.findall(text)
+def words_of(text: str) -> Counter:
+    """Words that aren't Chinese, with counts."""
     words: Counter = Counter()
     for token, n in Counter(text.split()).items():
-        if (w := word_of(token)) is not None and not _CJK.match(w):
+        if (w := word_of(token)) is not None and not _CJK.search(w):
             words[w] += n
+    return words
+
+
+def counted(text: str) -> tuple[bool, Counter, int]:
+    """Of the script that most of the prose is in: whether it is Chinese; its words or character pairs with counts; the
+    number of sentences' ends."""
+    return by_script(text)[0]
+
+
+def by_script(text: str) -> list[tuple[bool, Counter, int]]:
+    """As `counted`, then the same of the prose in the other script, if any. A lone word or character of the other script
+    is a loan or the value of a field, unless it ends as a sentence does."""
+    text = prose(text)
+    runs = _CJK.findall(text)
+    words = words_of(text)
+    stops = len(_STOPS.findall(text))
+    if not runs:
+        return [(False, words, stops)]
+    joined = "|".join(runs)
+    pairs = Counter(map(str.__add__, joined, joined[1:]))
+    for p in [p for p in pairs if "|" in p]:
+        del pairs[p]
+    zh_stops = min(len(_STOPS_ZH.findall(text)), stops)
     # against the letters of words only: paths and identifiers between the words are of no language
-    if runs and sum(map(len, runs)) * 3 >= sum(len(w) * n for w, n in words.items()):
-        joined = "|".join(runs)
-        pairs = Counter(map(str.__add__, joined, joined[1:]))
-        for p in [p for p in pairs if "|" in p]:
-            del pairs[p]
-        return True, pairs or Counter(runs), len(_STOPS.findall(text))  # without any pair, characters that stand alone
-    return False, words, len(_STOPS.findall(text))
+    if sum(map(len, runs)) * 3 >= sum(len(w) * n for w, n in words.items()):
+        other: Counter = Counter()
+        for segment in re.split(rf"\n|{_CJK.pattern}", text) if words else ():
+            own = words_of(segment)
+            if own.total() > 1 or own and re.search(r"\w[.!?](?=\s|$)", segment):
+                other += own
+        pairs = pairs or Counter(runs)  # without any pair, characters that stand alone
+        return [(True, pairs, zh_stops), (False, other, stops - zh_stops)] if other else [(True, pairs, stops)]
+    return [(False, words, stops - zh_stops), (True, pairs, zh_stops)] if pairs else [(False, words, stops)]
 
 
 @dataclass
@@ -211,9 +235,17 @@ class Model:
     errors: dict[str, tuple[int, float, float]]  # language: parts, mean absolute error, share on the right side of 3.5
 
     def grade(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Level from 1 to 5 (fractional), language, words of prose."""
-        x, language, words = features([counted(t) for t in texts], self.books)
-        return np.clip(self.scale[0] + self.scale[1] * self.trees.predict(x), 1, LEVELS), language, words
+        """Level from 1 to 5 (fractional), language, words of prose. Of prose in two scripts, the mean level by words, and the
+        language of the greater part."""
+        parts = [by_script(t) for t in texts]
+        first = np.cumsum([0, *map(len, parts)])[:-1].astype(int)
+        x, language, words = features([p for ps in parts for p in ps], self.books)
+        level = np.clip(self.scale[0] + self.scale[1] * self.trees.predict(x), 1, LEVELS)
+        for i in first[[len(ps) > 1 for ps in parts]]:
+            level[i] = np.average(level[i : i + 2], weights=words[i : i + 2])
+            language[i] = language[i + words[i : i + 2].argmax()]
+            words[i] += words[i + 1]
+        return level[first], language[first], words[first]
 
 
 def parts_of(text: str, rnd: random.Random) -> str:

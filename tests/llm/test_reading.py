@@ -60,6 +60,19 @@ def test_short_prose_has_a_level(spark):
     assert prose("It holds; whatever\nfollows (see below);\nthe end.").split() == "It holds; whatever follows (see below); the end.".split()
 
 
+def test_prose_in_two_scripts():
+    zh = ["我有小灯。他很好。", "她有红鸟。水不高。", "我有红灯。她很高。"]
+    hard = "认识论的可通约性以主体间的规范化为前提。概率异质性要求系统性的分化与归约。"
+    model = fit([*PASSAGES, *[("zh", 1, t) for t in zh], *[("zh", 5, t) for t in (hard, hard[:20], hard[20:])]])
+    texts = [EASY[0], hard, EASY[0] + "\n" + hard, HARD[0] + " " + zh[0], "类别: parser\n" + hard, EASY[1] + " 白桥"]
+    level, language, words = model.grade(texts)
+    assert level[2] == pytest.approx((level[0] * words[0] + level[1] * words[1]) / (words[0] + words[1])) and words[2] == words[0] + words[1]
+    assert level[0] < level[2] < level[1] and level[3] < model.grade([HARD[0]])[0][0]
+    assert level[4] == level[1] and words[4] == words[1]
+    assert language.tolist() == [0, 2, 2, language[3], 2, 0] and words[5] == 6.5
+    assert model.grade([])[0].shape == (0,)
+
+
 def test_passages_table(spark):
     df = spark.createDataFrame([*[(*p, "x") for p in PASSAGES], (None, 1, "a", "x"), ("en", None, "a", "x"), ("en", 9, "a", "x"), ("en", 2, None, "x"), ("fr", 2, "bon jour", "x")], "lang string, level int, text string, passage_id string")
     assert fit_passages(df).errors["en"][0] > 0
