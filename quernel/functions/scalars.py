@@ -87,6 +87,11 @@ def iso_utc(ms: Column) -> Column:
     return F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z"))
 
 
+def minute(iso: Column) -> Column:
+    """yyyy-MM-dd HH:mm of an ISO text."""
+    return F.regexp_replace(F.substring(iso, 1, 16), "T", " ")
+
+
 def file_stem(text: Column, empty: str | None = None) -> Column:
     """A safe file name: other characters become _, outer _ go, 120 characters at most; `empty` where nothing is left."""
     safe = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9_-]", "_"), r"^_+|_+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.scalars import NO_CATEGORY, iso_utc
+from quernel.functions.scalars import NO_CATEGORY, clean, iso_utc
 
 
 def decision_list(nodes: DataFrame) -> DataFrame:
@@ -31,17 +31,36 @@ def timeline(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'decision' and at_ms is not null").groupBy(day).agg(F.count("*").alias("decisions")).orderBy("day")
 
 
+def decision_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`decision_list` with `entities`, the array of (id, label, type) that each decision involves, in the order of the edges."""
+    linked = decision_entities(nodes, edges).groupBy(F.col("decision_id").alias("id"))
+    held = linked.agg(F.sort_array(F.collect_list(F.struct("place", F.col("entity_id").alias("id"), "label", "type"))).alias("held"))
+    entities = F.transform("held", lambda e: F.struct(e["id"].alias("id"), e["label"].alias("label"), e["type"].alias("type")))
+    none = F.array().cast("array<struct<id:string,label:string,type:string>>")
+    return decision_list(nodes).join(held, "id", "left").withColumn("entities", F.coalesce(entities, none)).drop("held")
+
+
 def expand(decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A log of decisions (pos, id, category, decision_maker, entities, ...) as decisions, satellites and edges.
 
     Nodes: the decision (the last row of an id), its category and its maker. Edges: involves each entity in order,
-    belongs_to the category, made_by the maker. Null or blank entities, categories and makers give nothing.
+    belongs_to the category, made_by the maker. Null or blank entities, categories and makers give nothing. An edge's pos
+    is the decision's times a width, that of the longest array and two more, plus its place: category and maker come last.
     """
+    width = (decisions.agg(F.max(F.size(F.coalesce("entities", F.array().cast("array<string>"))))).first()[0] or 0) + 2
     last = decisions.where("id is not null").groupBy("id").agg(F.max(F.struct("pos", *(c for c in decisions.columns if c not in ("id", "pos")))).alias("d")).select("id", "d.*")
     entity = F.posexplode(F.coalesce("entities", F.array().cast("array<string>"))).alias("k", "target_id")
-    involves = last.select("pos", F.col("id").alias("source_id"), entity).where("trim(target_id) <> ''").select((F.col("pos") * 100_000 + F.col("k")).alias("pos"), "source_id", F.trim("target_id").alias("target_id"), F.lit("involves").alias("type"))
-    to = lambda c, kind, prefix, k: last.where(f"trim({c}) <> ''").select((F.col("pos") * 100_000 + k).alias("pos"), F.col("id").alias("source_id"), F.concat(F.lit(prefix), c).alias("target_id"), F.lit(kind).alias("type"))
-    edges = involves.unionByName(to("category", "belongs_to", "category:", 90_000)).unionByName(to("decision_maker", "made_by", "maker:", 90_001))
-    satellite = lambda c, kind, prefix: last.where(f"trim({c}) <> ''").groupBy(c).agg(F.min("pos").alias("pos")).select("pos", F.concat(F.lit(prefix), c).alias("id"), F.lit(kind).alias("type"), F.col(c).alias("label"))
+    place = lambda k: (F.col("pos") * width + k).alias("pos")
+    involves = last.select("pos", F.col("id").alias("source_id"), entity).select(place(F.col("k")), "source_id", clean(F.col("target_id")).alias("target_id"), F.lit("involves").alias("type")).where("target_id is not null")
+
+    def to(c: str, kind: str, prefix: str, k: int) -> DataFrame:
+        named = last.where(clean(F.col(c)).isNotNull())
+        return named.select(place(F.lit(k)), F.col("id").alias("source_id"), F.concat(F.lit(prefix), c).alias("target_id"), F.lit(kind).alias("type"))
+
+    def satellite(c: str, kind: str, prefix: str) -> DataFrame:
+        first = last.where(clean(F.col(c)).isNotNull()).groupBy(c).agg(F.min("pos").alias("pos"))
+        return first.select("pos", F.concat(F.lit(prefix), c).alias("id"), F.lit(kind).alias("type"), F.col(c).alias("label"))
+
+    edges = involves.unionByName(to("category", "belongs_to", "category:", width - 2)).unionByName(to("decision_maker", "made_by", "maker:", width - 1))
     satellites = satellite("category", "category", "category:").unionByName(satellite("decision_maker", "decision_maker", "maker:"))
     return last, satellites, edges

@@ -5,6 +5,8 @@ Nodes are numbered by `pos`; only numbers are shuffled in the loops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,8 @@ from quernel.functions.scalars import is_semantic
 from quernel.session import materialise
 
 DAMPING, ROUNDS = 0.85, 20
+#: Rounds of the walk in one plan, between two tables.
+CHUNK = 7
 SWEEPS = 10
 #: Links of a component up to which one task sweeps it; larger ones are swept as a wave over the cluster.
 ONE_TASK = 2_000_000
@@ -46,36 +50,53 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hubs(scored: DataFrame, score: str, top: int = 15) -> DataFrame:
-    """The entities of highest score; ties by label, then by order. Scores that differ by less than 1e-12 are ties."""
+    """The entities of highest score; ties by label in the order of dictionaries (UNICODE collation), then by order. Scores
+    that differ by less than 1e-12 are ties."""
     entities = scored.where(is_semantic(F.col("type")))
-    return entities.orderBy(F.desc(F.round(score, 12)), "label", "pos").limit(top).select("id", "label", F.coalesce("type", F.lit("")).alias("type"), "degree", F.round(F.col(score).cast("double"), 6).alias("score"))
+    return entities.orderBy(F.desc(F.round(score, 12)), F.collate("label", "UNICODE"), "pos").limit(top).select("id", "label", F.coalesce("type", F.lit("")).alias("type"), "degree", F.round(F.col(score).cast("double"), 6).alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, chunk: int = CHUNK) -> DataFrame:
     """pos, rank after exactly `rounds` power iterations; what nodes without out-edges hold is spread evenly.
 
     The iteration is linear: rank_k is a combination of v_0 = 1 and v_j = A v_(j-1), with A the damped walk without the
-    spread mass. A round is one join and one sum into a narrow table; no scalar of the rounds before is needed in it. How
-    much of each v_j lies on nodes without out-edges gives the weights of the combination at the end, in one pass.
+    spread mass. How much of each v_j lies on nodes without out-edges gives the weights of the combination at the end.
+
+    `chunk` rounds are one plan: the links, and one link of each node to itself that carries the chunk's earlier v_j, are
+    shuffled by their start once and read again by each round; a round's own shuffle has partial sums, and their
+    partitioning is the one that the next join needs. A chunk's vectors are written, which cuts the lineage.
     """
-    links = materialise(numbered(nodes, edges), "links")
-    out = links.groupBy("a").agg(F.count("*").alias("out"))
-    links = materialise(links.join(out, "a"), "links")
-    walk = nodes.select(F.col("pos").alias("n"), F.lit(1.0).alias("x"))
-    walks = walk.withColumn("j", F.lit(0))
-    for j in range(1, rounds + 1):
-        given = links.join(walk.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.sum(F.col("x") / F.col("out") * damping).alias("x"))
-        walk = materialise(given, "walk")
-        walks = walks.unionByName(walk.withColumn("j", F.lit(j)))
-    sinks = walks.join(out.withColumnRenamed("a", "n"), "n", "left_anti").groupBy("j").agg(F.sum("x").alias("x"))
-    on_sinks = {r.j: r.x for r in sinks.collect()}  # one row a round
+    raw = materialise(numbered(nodes, edges), "links")
+    out = raw.groupBy("a").agg((F.lit(damping) / F.count("*")).alias("w"))
+    itself = nodes.select(F.col("pos").alias("a"), F.col("pos").alias("b"), F.lit(None).cast("double").alias("w"))
+    links = materialise(raw.join(out, "a").select("a", "b", "w").unionByName(itself), "links")
+    sinks = materialise(nodes.select(F.col("pos").alias("n")).join(out.select(F.col("a").alias("n")), "n", "left_anti"), "sinks")
+    names = [f"h{k}" for k in range(chunk)]
+    empty = [F.lit(None).cast("double").alias(c) for c in names]
+    state = nodes.select(F.col("pos").alias("n"), F.lit(1.0).alias("x"), *empty)
+    carried = F.col("w").isNull()
+    vectors = []  # tables of (n, h0, h1, ...) with the number of the vector that each column has
+    on_sinks: dict[int, float] = {}
+    for start in range(0, rounds + 1, chunk):
+        many = min(chunk, rounds + 1 - start)
+        for _ in range(many):
+            # all rounds are alike, so that their code is compiled once: the newest vector comes first, the others move on
+            moved = F.coalesce(F.sum(F.col("x") * F.col("w")), F.lit(0.0)).alias("x")
+            shifted = [F.max(F.when(carried, F.col(old))).alias(new) for new, old in zip(names, ["x", *names], strict=False)]
+            state = links.join(state, F.col("a") == F.col("n")).groupBy(F.col("b").alias("n")).agg(moved, *shifted)
+        table = materialise(state, "walk")
+        held = {start + many - 1 - k: c for k, c in enumerate(names[:many])}
+        vectors.append((held, table))
+        row = table.join(sinks, "n", "left_semi").agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in held.values())).first()
+        on_sinks |= dict(zip(held, row, strict=True))
+        state = table.select("n", "x", *empty)
     n = nodes.count()
     weights = [1.0 / max(n, 1)]  # of v_0, v_1, ...
     for _ in range(rounds):
-        leaked = sum(w * on_sinks.get(j, 0.0) for j, w in enumerate(weights))
+        leaked = sum(w * on_sinks[j] for j, w in enumerate(weights))
         weights = [(1 - damping + damping * leaked) / max(n, 1), *weights]
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("j") + 1)
-    return walks.groupBy(F.col("n").alias("pos")).agg(F.sum(F.col("x") * weight).alias("rank"))
+    parts = [table.select(F.col("n").alias("pos"), sum((F.col(c) * weights[j] for j, c in held.items()), F.lit(0.0)).alias("part")) for held, table in vectors]
+    return reduce(DataFrame.unionByName, parts).groupBy("pos").agg(F.sum("part").alias("rank"))
 
 
 def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,7 +110,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     so the rounds grow with the logarithm of the longest chain.
     """
     pairs = materialise(numbered(nodes, edges).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    before = None
+    held = pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -97,11 +118,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # small star: every a > b here; a's neighbours and a itself go to its smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        pairs = materialise(small, "stars")
-        now = tuple(pairs.agg(F.count("*"), F.sum("b"), F.sum("a")).first())
-        if now == before:
+        before, pairs = pairs, materialise(small, "stars")
+        had, held = held, pairs.count()
+        # the same set of pairs as before: as many, and none that is new
+        if had == held and pairs.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     return nodes.select("pos").join(pairs.select(F.col("a").alias("pos"), F.col("b").alias("component")), "pos", "left").select("pos", F.coalesce("component", "pos").alias("component"))
 
 
@@ -109,40 +130,72 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
+def levels_of(node: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Length of the longest chain of rising neighbours that ends at each node, by peeling: no two neighbours share a level.
+    `node` is sorted; node -> to in both directions."""
+    start = np.searchsorted(node, np.arange(n + 1))
+    waiting = np.bincount(node[to < node], minlength=n)
+    level = np.zeros(n, np.int64)
+    front, k = np.flatnonzero(waiting == 0), 0
+    while len(front):
+        level[front] = k
+        size = start[front + 1] - start[front]
+        links = np.repeat(start[front] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        up = to[links][to[links] > np.repeat(front, size)]
+        np.subtract.at(waiting, up, 1)
+        up = np.unique(up)
+        front, k = up[waiting[up] == 0], k + 1
+    return level
+
+
 def sweep(a: np.ndarray, b: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """Labels after in-order label propagation over directed pairs a -> b, both directions present; nodes in order of their
-    numbers, each at once seen by the next. Keeps its label unless another has strictly more neighbours; smallest first."""
+    numbers, each at once seen by the next. Keeps its label unless another has strictly more neighbours; smallest first.
+
+    Nodes of one level have no links among themselves, so a level is voted on at once and gives what their order gives."""
     ids = np.unique(a)
+    n = len(ids)
     order = np.argsort(a, kind="stable")
-    to = np.searchsorted(ids, b[order])
-    start = np.searchsorted(a[order], ids)
-    end = np.append(start[1:], len(a))
-    label = np.arange(len(ids))
+    node, to = np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order])
+    level = levels_of(node, to, n)
+    order = np.argsort(level[node], kind="stable")
+    node, to = node[order], to[order]
+    bounds = np.searchsorted(level[node], np.arange((level.max() if n else 0) + 2))
+    label = np.arange(n)
     for _ in range(sweeps):
         changed = False
-        for i in range(len(ids)):
-            seen, count = np.unique(label[to[start[i] : end[i]]], return_counts=True)
-            at = np.searchsorted(seen, label[i])
-            own = count[at] if at < len(seen) and seen[at] == label[i] else 0
-            k = count.argmax()
-            if count[k] > own:
-                label[i] = seen[k]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            votes, count = np.unique(node[i:j] * n + label[to[i:j]], return_counts=True)
+            who, what = votes // n, votes % n
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            mine = who[first]
+            most = np.maximum.reduceat(count, first)
+            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(who))))
+            own = np.zeros(len(first), np.int64)
+            same = what == label[who]
+            own[place[same]] = count[same]
+            top = np.flatnonzero(count == most[place])
+            top = top[np.diff(place[top], prepend=-1) > 0]  # labels rise within a node: the first is the smallest
+            move = most > own
+            if move.any():
+                label[mine[move]] = what[top][move]
                 changed = True
         if not changed:
             break
     return ids, ids[label]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK, within: DataFrame | None = None) -> DataFrame:
     """pos, community: the label (a pos) that in-order propagation leaves, nodes without neighbours keep their own.
+    `within`: the nodes' components, where they are known already.
 
     Labels only cross links, so components are swept apart, each in its own order: the same as one sweep over all.
     Components of more than `one_task` links are swept as a wave: a node takes its turn once all smaller neighbours have
     had theirs in this sweep and all larger ones in the last, which gives the same labels without one task holding all.
     """
     around = materialise(neighbours(numbered(nodes, edges)).where("a <> b"), "around")
-    within = components(nodes, edges).select(F.col("pos").alias("a"), "component")
-    placed = materialise(around.join(within, "a"), "placed")
+    within = components(nodes, edges) if within is None else within
+    placed = materialise(around.join(within.select(F.col("pos").alias("a"), "component"), "a"), "placed")
     sizes = placed.groupBy("component").agg(F.count("*").alias("links"))
     giant = materialise(sizes.where(F.col("links") > one_task).select("component"), "giant")
     swept = placed.join(giant, "component", "left_anti").groupBy("component").applyInPandas(_sweep_group, "pos bigint, community bigint")

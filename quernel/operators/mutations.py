@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.scalars import clean, file_stem
 
+#: The names of the tools that write.
 WRITE_TOOLS = ("add_entity", "add_relationship", "record_decision", "update_node", "delete_node")
 
 

@@ -46,3 +46,10 @@ def resolve(asked: DataFrame, stored: DataFrame, default: bool) -> DataFrame:
 def newest(rows: DataFrame, most: int = MOST, order: str = "updated_at", key: str = "session_id") -> DataFrame:
     """The `most` rows of latest `order`, ties by key: a top-k, not a sort of all rows."""
     return rows.orderBy(F.desc_nulls_last(order), F.desc(key)).limit(most)
+
+
+def stored_form(rows: DataFrame, default: bool, most: int = MOST) -> DataFrame:
+    """One row, `text`: the file that keeps the default and the newest `most` sessions; `migrate` reads it back."""
+    entry = F.struct(F.coalesce("on", F.lit(False)).alias("on"), F.col("updated_at").cast("string").alias("updatedAt"))
+    held = newest(rows.where("session_id <> ''"), most).agg(F.map_from_entries(F.collect_list(F.struct("session_id", entry.alias("e")))).alias("sessions"))
+    return held.select(F.to_json(F.struct(F.lit(FORMAT).alias("v"), F.lit(default).alias("default"), "sessions")).alias("text"))

@@ -64,6 +64,12 @@ def _graph(spark: SparkSession, sf_dir: str) -> tables.Graph:
     return tables.graph(spark, sf_dir)
 
 
+def _held(spark: SparkSession, sf_dir: str) -> tables.Graph:
+    """The graph written once, with the columns that scoping reads: its steps come back to nodes and edges many times."""
+    g = tables.graph(spark, sf_dir)
+    return tables.Graph(materialise(g.nodes.select("pos", "id", "type", "status", "tags"), "nodes"), materialise(g.edges, "edges"))
+
+
 def _clean(spark: SparkSession, sf_dir: str) -> tables.Graph:
     """Live nodes and the cleaned edges between them, written once: the algorithms read them again and again."""
     g = _graph(spark, sf_dir)
@@ -73,7 +79,8 @@ def _clean(spark: SparkSession, sf_dir: str) -> tables.Graph:
 
 def graph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return g.nodes.agg(F.lit("nodes").alias("part"), F.count("*").alias("n"), F.sum("pos").alias("sum_pos")).unionByName(g.edges.agg(F.lit("edges").alias("part"), F.count("*").alias("n"), F.sum("pos").alias("sum_pos")))
+    counted = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.bit_xor("pos").alias("xor_pos"))
+    return counted(g.nodes, "nodes").unionByName(counted(g.edges, "edges"))
 
 
 def live_nodes(spark, sf_dir):
@@ -81,7 +88,7 @@ def live_nodes(spark, sf_dir):
 
 
 def tagged_nodes(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     return scope.tagged(g.nodes, tables.main_session(g.edges)).select("id")
 
 
@@ -135,7 +142,7 @@ def status_counts(spark, sf_dir):
 
 
 def claim_by_edge(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     session = tables.main_session(g.edges)
     return scope.claimed_by_edge(g.nodes, g.edges, scope.tagged(g.nodes, session), session)
 
@@ -147,19 +154,19 @@ def _kept(g: tables.Graph) -> DataFrame:
 
 
 def claim_by_entity(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     return scope.claimed_decisions(g.nodes, g.edges, _kept(g))
 
 
 def claim_satellites(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     kept = _kept(g)
     kept = materialise(kept.unionByName(scope.claimed_decisions(g.nodes, g.edges, kept)), "kept")
     return scope.claimed_satellites(g.nodes, g.edges, kept)
 
 
 def _scoped(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     return scope.scope_conversation(g.nodes, g.edges, tables.main_session(g.edges))
 
 
@@ -176,7 +183,7 @@ def claim_conversation(spark, sf_dir):
 
 
 def untagged_decisions(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _held(spark, sf_dir)
     kept = scope.scope_conversation(g.nodes, g.edges, tables.main_session(g.edges)).nodes.select("id")
     return scope.live_nodes(g.nodes).where("type = 'decision'").join(kept, "id", "left_anti").select("id")
 
@@ -278,9 +285,17 @@ def community_members(spark, sf_dir):
 
 
 def overview(spark, sf_dir):
-    """Summary, components and isolated entities in one row."""
+    """Summary, components, isolated entities and communities of more than one node in one row."""
     g = _clean(spark, sf_dir)
-    parts = [scope.summarise(g.nodes, g.edges), graph.component_sizes(g.nodes, g.edges).agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")), graph.isolated(g.nodes, g.edges).agg(F.count("*").alias("isolated"))]
+    within = materialise(graph.components(g.nodes, g.edges), "components")
+    sizes = within.groupBy("component").agg(F.count("*").alias("size"))
+    grouped = graph.communities(g.nodes, g.edges, within=within).groupBy("community").agg(F.count("*").alias("size"))
+    parts = [
+        scope.summarise(g.nodes, g.edges),
+        sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),
+        graph.isolated(g.nodes, g.edges).agg(F.count("*").alias("isolated")),
+        grouped.agg(F.count_if(F.col("size") > 1).alias("communities")),
+    ]
     out = parts[0].withColumn("k", F.lit(0))
     for p in parts[1:]:
         out = out.join(p.withColumn("k", F.lit(0)), "k")
@@ -296,6 +311,13 @@ def decision_list(spark, sf_dir):
     return decisions.decision_list(_graph(spark, sf_dir).nodes)
 
 
+def decision_records(spark, sf_dir):
+    """Decisions with what they involve, as lines of ids and of labels."""
+    g = _clean(spark, sf_dir)
+    lines = [F.array_join(F.transform("entities", lambda e: e[f]), "\n").alias(f"entity_{f}s") for f in ("id", "label")]  # noqa: B023
+    return decisions.decision_records(g.nodes, g.edges).select("id", "category", "outcome", "at", *lines)
+
+
 def decision_entities(spark, sf_dir):
     g = _clean(spark, sf_dir)
     return decisions.decision_entities(g.nodes, g.edges)
@@ -428,7 +450,7 @@ QUERIES = {
         graph_scan, live_nodes, tagged_nodes, untagged_nodes, semantic_nodes, relation_edges, clean_edges, dropped_edges, node_tags, edge_tags, node_labels, write_tools, status_counts,
         claim_by_edge, claim_by_entity, claim_satellites, scope_conversation, scope_conversation_edges, claim_conversation, untagged_decisions, scope_all, claim_all, scope_own, claim_own,
         graph_summary, nodes_by_type, bar_percent, adjacency, degree, out_degree, isolated_nodes, hubs_by_degree, pagerank, hubs_by_rank, connected_components, component_sizes,
-        communities, top_communities, community_members, overview, decision_time, decision_list, decision_entities, decision_timeline,
+        communities, top_communities, community_members, overview, decision_time, decision_list, decision_records, decision_entities, decision_timeline,
         write_route, upsert_last_wins, soft_delete, replay_nodes, replay_edges, decision_expand, node_owner,
         toggle_resolve, toggle_cap, toggle_migrate, view_retention, view_key, session_path, clean_str, short_path, kv_extract, source_resolution,
     )

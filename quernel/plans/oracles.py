@@ -50,15 +50,16 @@ nodes AS (
     NULL::VARCHAR AS category, NULL::VARCHAR AS outcome, NULL::VARCHAR AS scenario, NULL::VARCHAR AS reasoning, NULL::DOUBLE AS confidence, NULL::VARCHAR AS decision_maker, NULL::DOUBLE AS at_ms FROM lw
   UNION ALL SELECT pos + 1000000000000, id, 'decision', id, NULL, NULL, category, outcome, scenario, reasoning, confidence, decision_maker,
     coalesce(CASE WHEN stamp <= 253402300799999.0 THEN stamp END, {_iso_ms("recorded_at")}, {_iso_ms("valid_from")}) FROM ms
-  UNION ALL SELECT min(pos) + 2000000000000, 'category:' || category, 'category', category, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dw WHERE trim(category) <> '' GROUP BY category
-  UNION ALL SELECT min(pos) + 3000000000000, 'maker:' || decision_maker, 'decision_maker', decision_maker, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dw WHERE trim(decision_maker) <> '' GROUP BY decision_maker
+  UNION ALL SELECT min(pos) + 2000000000000, 'category:' || category, 'category', category, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dw WHERE {_clean("category")} IS NOT NULL GROUP BY category
+  UNION ALL SELECT min(pos) + 3000000000000, 'maker:' || decision_maker, 'decision_maker', decision_maker, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM dw WHERE {_clean("decision_maker")} IS NOT NULL GROUP BY decision_maker
   UNION ALL SELECT row_number() OVER (ORDER BY id) + 4000000000000, id, type, coalesce({_clean("coalesce(label, id)")}, id), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM kg_catalog),
-de AS (SELECT pos, id, unnest(entities) AS entity, unnest(range(len(entities))) AS k FROM dw),
+wide AS (SELECT coalesce(max(len(entities)), 0) + 2 AS w FROM kg_decisions),
+de AS (SELECT pos, id, {_clean("unnest(entities)")} AS entity, unnest(range(len(entities))) AS k FROM dw),
 edges AS (
   SELECT pos, source_id, target_id, type, weight, {_tags("conversation")} AS tags FROM kg_edges
-  UNION ALL SELECT pos * 100000 + k + 1000000000000, id, trim(entity), 'involves', NULL, NULL FROM de WHERE trim(entity) <> ''
-  UNION ALL SELECT pos * 100000 + 90000 + 1000000000000, id, 'category:' || category, 'belongs_to', NULL, NULL FROM dw WHERE trim(category) <> ''
-  UNION ALL SELECT pos * 100000 + 90001 + 1000000000000, id, 'maker:' || decision_maker, 'made_by', NULL, NULL FROM dw WHERE trim(decision_maker) <> ''),
+  UNION ALL SELECT pos * w + k + 1000000000000, id, entity, 'involves', NULL, NULL FROM de, wide WHERE entity IS NOT NULL
+  UNION ALL SELECT pos * w + w - 2 + 1000000000000, id, 'category:' || category, 'belongs_to', NULL, NULL FROM dw, wide WHERE {_clean("category")} IS NOT NULL
+  UNION ALL SELECT pos * w + w - 1 + 1000000000000, id, 'maker:' || decision_maker, 'made_by', NULL, NULL FROM dw, wide WHERE {_clean("decision_maker")} IS NOT NULL),
 live AS (SELECT *, coalesce(type, '') NOT IN ('decision', 'category', 'decision_maker') AS semantic, coalesce(list_bool_or(list_transform(tags, lambda t: {_clean("t")} IS NOT NULL)), false) AS any_tag FROM nodes WHERE status IS DISTINCT FROM 'archived')
 """
 
@@ -90,6 +91,16 @@ r0 AS MATERIALIZED (SELECT pos AS i, 1.0::DOUBLE / n AS r FROM live, size)""" +
     for k in range(1, 21)
 )
 
+#: Ordered propagation, a level of the order a step: nodes of one level have no links among themselves. Row -1 counts the steps.
+_COMMUNITIES = f"""{_NUMBERED}, lv(n, k) USING KEY (n) AS (SELECT pos, 0 FROM live UNION SELECT x.b, max(lv.k + 1) FROM lv JOIN around x ON x.a = lv.n AND x.b > x.a JOIN recurring.lv AS old ON old.n = x.b WHERE lv.k + 1 > old.k GROUP BY x.b),
+top AS MATERIALIZED (SELECT max(k) + 1 AS most FROM lv), turn AS MATERIALIZED (SELECT n, k, b FROM lv JOIN around ON a = n),
+st(n, label) USING KEY (n) AS (SELECT pos, pos FROM live UNION ALL SELECT -1, 0 UNION (
+  SELECT n, label FROM (SELECT n, label, c, coalesce(max(c) FILTER (WHERE label = own) OVER (PARTITION BY n), 0) AS mine, row_number() OVER (PARTITION BY n ORDER BY c DESC, label) AS r
+    FROM (SELECT turn.n, me.label AS own, o.label, count(*) AS c FROM st w, top JOIN turn ON k = w.label % most JOIN recurring.st AS o ON o.n = turn.b JOIN recurring.st AS me ON me.n = turn.n WHERE w.n = -1 AND w.label < 10 * most GROUP BY ALL)) WHERE r = 1 AND c > mine
+  UNION ALL SELECT -1, label + 1 FROM st, top WHERE n = -1 AND label < 10 * most)),
+grouped AS (SELECT label AS community, count(*) AS size, min(n) AS first FROM st WHERE n >= 0 GROUP BY label),
+largest AS (SELECT * FROM grouped WHERE size > 1 ORDER BY size DESC, first LIMIT 12)"""
+
 _LOGGED = f"""
 adds AS (SELECT id, pos * 4 AS seq, CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' AND json_type(metadata, '$.conversation') = 'VARCHAR' THEN {_clean("metadata ->> '$.conversation'")} END AS owner FROM kg_nodes WHERE status IS DISTINCT FROM 'archived'),
 gone AS (SELECT id, pos * 4 AS seq FROM kg_nodes WHERE status = 'archived'),
@@ -180,7 +191,7 @@ every AS (SELECT endpoint, id, written_at, 1 AS d FROM direct UNION ALL SELECT e
 SELECT 'kg_edges' AS tbl, endpoint, strftime(date_trunc('month', written_at), '%Y-%m-%d') AS period, sum(d)::BIGINT AS direct, sum(1 - d)::BIGINT AS inherited, count(DISTINCT id) AS missing_ids FROM every GROUP BY ALL""",
     "p6_found": f"WITH RECURSIVE {_OBJECTS} SELECT tbl, col, pos, parent_path, path FROM t WHERE elem AND json_type(v) = 'OBJECT'",
     "p6_tables": f"WITH RECURSIVE {_OBJECTS} SELECT tbl, col, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS name, count(*) AS objects, count(DISTINCT pos) AS rows FROM t WHERE elem AND json_type(v) = 'OBJECT' GROUP BY ALL",
-    "graph_scan": f"WITH {_GRAPH} SELECT 'nodes' AS part, count(*) AS n, sum(pos)::BIGINT AS sum_pos FROM nodes UNION ALL SELECT 'edges', count(*), sum(pos)::BIGINT FROM edges",
+    "graph_scan": f"WITH {_GRAPH} SELECT 'nodes' AS part, count(*) AS n, bit_xor(pos) AS xor_pos FROM nodes UNION ALL SELECT 'edges', count(*), bit_xor(pos) FROM edges",
     "live_nodes": f"WITH {_GRAPH} SELECT id, type, status FROM live",
     "tagged_nodes": f"WITH {_GRAPH}, {_SESSION} SELECT id FROM live, main WHERE list_contains(tags, s)",
     "untagged_nodes": f"WITH {_GRAPH} SELECT id FROM live WHERE semantic AND NOT any_tag",
@@ -217,12 +228,19 @@ SELECT 'kg_edges' AS tbl, endpoint, strftime(date_trunc('month', written_at), '%
     "hubs_by_rank": f"WITH {_RANK} SELECT id, label, coalesce(type, '') AS type, degree, round(r, 6) AS score FROM r20 JOIN deg ON pos = i WHERE semantic ORDER BY round(r, 12) DESC, label, pos LIMIT 15",
     "connected_components": f"WITH RECURSIVE {_NUMBERED}, cc(n, c) USING KEY (n) AS (SELECT pos, pos FROM live UNION SELECT x.b, min(cc.c) FROM cc JOIN around x ON x.a = cc.n JOIN recurring.cc AS old ON old.n = x.b WHERE cc.c < old.c GROUP BY x.b) SELECT n AS pos, c AS component FROM cc",
     "component_sizes": f"WITH RECURSIVE {_NUMBERED}, cc(n, c) USING KEY (n) AS (SELECT pos, pos FROM live UNION SELECT x.b, min(cc.c) FROM cc JOIN around x ON x.a = cc.n JOIN recurring.cc AS old ON old.n = x.b WHERE cc.c < old.c GROUP BY x.b) SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM cc GROUP BY c) GROUP BY size",
-    "overview": f"""WITH RECURSIVE {_NUMBERED}, cc(n, c) USING KEY (n) AS (SELECT pos, pos FROM live UNION SELECT x.b, min(cc.c) FROM cc JOIN around x ON x.a = cc.n JOIN recurring.cc AS old ON old.n = x.b WHERE cc.c < old.c GROUP BY x.b), sizes AS (SELECT c, count(*) AS size FROM cc GROUP BY c)
-SELECT (SELECT count(*) FROM live) AS nodes, (SELECT count(*) FROM clean) AS edges, (SELECT count(*) FROM live WHERE semantic) AS entities, (SELECT count(*) FROM clean WHERE coalesce(type, '') NOT IN ('involves', 'belongs_to', 'made_by')) AS relations, (SELECT count(*) FROM live WHERE type = 'decision') AS decisions,
+    "communities": f"WITH RECURSIVE {_COMMUNITIES} SELECT n AS pos, label AS community FROM st WHERE n >= 0",
+    "top_communities": f"WITH RECURSIVE {_COMMUNITIES} SELECT community, size FROM largest",
+    "community_members": f"""WITH RECURSIVE {_COMMUNITIES} SELECT label AS community, place, id, name AS label, type, degree FROM (SELECT st.label, d.id, d.label AS name, coalesce(d.type, '') AS type, degree, row_number() OVER (PARTITION BY st.label ORDER BY degree DESC, pos) AS place
+  FROM st JOIN deg d ON d.pos = st.n JOIN largest ON largest.community = st.label WHERE semantic) WHERE place <= 10""",
+    "overview": f"""WITH RECURSIVE {_COMMUNITIES}, cc(n, c) USING KEY (n) AS (SELECT pos, pos FROM live UNION SELECT x.b, min(cc.c) FROM cc JOIN around x ON x.a = cc.n JOIN recurring.cc AS old ON old.n = x.b WHERE cc.c < old.c GROUP BY x.b), sizes AS (SELECT c, count(*) AS size FROM cc GROUP BY c)
+SELECT (SELECT count(*) FROM grouped WHERE size > 1) AS communities, (SELECT count(*) FROM live) AS nodes, (SELECT count(*) FROM clean) AS edges, (SELECT count(*) FROM live WHERE semantic) AS entities, (SELECT count(*) FROM clean WHERE coalesce(type, '') NOT IN ('involves', 'belongs_to', 'made_by')) AS relations, (SELECT count(*) FROM live WHERE type = 'decision') AS decisions,
   (SELECT count(*) FROM sizes) AS components, (SELECT max(size) FROM sizes) AS largest_component, (SELECT count(*) FROM deg WHERE degree = 0 AND semantic) AS isolated""",
     "decision_time": f"WITH {_GRAPH} SELECT id, floor(at_ms)::BIGINT AS at_ms FROM nodes WHERE type = 'decision'",
     "decision_list": f"""WITH {_GRAPH} SELECT id, coalesce(category, '未分类') AS category, coalesce(outcome, '') AS outcome, coalesce(scenario, '') AS scenario, coalesce(reasoning, '') AS reasoning, confidence, coalesce(decision_maker, '') AS maker,
   strftime(make_timestamp(floor(at_ms)::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM nodes WHERE type = 'decision'""",
+    "decision_records": f"""WITH {_CLEAN}, held AS (SELECT source_id, string_agg(target_id, chr(10) ORDER BY c.pos) AS ids, string_agg(t.label, chr(10) ORDER BY c.pos) AS labels FROM clean c JOIN live t ON t.id = target_id WHERE c.type = 'involves' GROUP BY source_id)
+SELECT id, coalesce(category, '未分类') AS category, coalesce(outcome, '') AS outcome, strftime(make_timestamp(floor(at_ms)::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at, coalesce(ids, '') AS entity_ids, coalesce(labels, '') AS entity_labels
+FROM nodes LEFT JOIN held ON source_id = id WHERE type = 'decision'""",
     "decision_entities": f"WITH {_CLEAN} SELECT source_id AS decision_id, c.pos AS place, target_id AS entity_id, t.label, coalesce(t.type, '') AS type FROM clean c JOIN live d ON d.id = source_id AND d.type = 'decision' JOIN live t ON t.id = target_id WHERE c.type = 'involves'",
     "decision_timeline": f"WITH {_GRAPH} SELECT strftime(make_timestamp(floor(at_ms)::BIGINT * 1000), '%Y-%m-%d') AS day, count(*) AS decisions FROM nodes WHERE type = 'decision' AND at_ms IS NOT NULL GROUP BY 1",
     "write_route": f"WITH {_LOGGED} SELECT seq, tool, session, coalesce({_stem('session')}, 'unknown') AS file, how FROM routes",

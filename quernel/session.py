@@ -9,15 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension table is broadcast; beyond it the planner's shuffled joins are used.
+#: Rows and bytes up to which a dimension table is broadcast; beyond either the planner's shuffled joins are used.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session; where that is unset, as in tests on one
-    machine, a temporary folder that is made once a process."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Where that is unset, a session on one machine
+    gets a temporary folder of its own and the setting; on a cluster it is an error, as no other folder is known to be shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = tempfile.mkdtemp(prefix="quernel-")
@@ -55,9 +59,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table is counted to be small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES, written: bool = False) -> DataFrame:
+    """Hint a broadcast only when the table is found to be small, in rows and in bytes; otherwise leave the join to the
+    planner. The table is written first, so that nothing behind it runs a second time, unless it is one that `materialise`
+    gave (`written`); its bytes are those of the values as text, a bound on what the few rows take."""
+    df = df if written else materialise(df, "dimension")
+    held = F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(8)) for c in df.columns), F.lit(0)).cast("bigint"))
+    n, size = df.limit(rows + 1).agg(F.count("*"), held).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, parts: int = 1000) -> DataFrame:

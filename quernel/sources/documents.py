@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.scalars import decision_ms, label_of, metadata_tags
+from quernel.functions.scalars import clean, decision_ms, label_of, metadata_tags
 
 NO_ID = "kg"
+#: Nodes and edges that one document may hold; larger graphs are tables or lines.
+MOST_DOCUMENT = 1_000_000
 
 
 class NotAGraph(ValueError):
@@ -97,6 +101,112 @@ def write_lines(nodes: DataFrame, edges: DataFrame, path: str, graph_id: str | N
     n.unionByName(e).orderBy("k", "pos").select(F.to_json(row).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_document(nodes: DataFrame, edges: DataFrame, path: str, graph_id: str | None = None, most: int = MOST_DOCUMENT) -> int:
+    """The graph as the one JSON document {graph_id, nodes, edges, links: []} that viewers load; returns its bytes.
+
+    It is streamed to the file in the order of `pos`, a partition at a time, so the driver never holds it. A document is
+    what one reader loads whole: more than `most` nodes and edges are an error, and go to `write_tables` or `write_lines`.
+    """
+    spark = nodes.sparkSession
+    if nodes.limit(most + 1).count() + edges.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes and edges in one document")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, size = files.create(target, True), 0
+
+    def put(text: str) -> None:
+        nonlocal size
+        data = text.encode()
+        out.write(data, 0, len(data))
+        size += len(data)
+
+    put(f'{{"graph_id":{json.dumps(graph_id or NO_ID, ensure_ascii=False)}')
+    for name, items in (("nodes", nodes), ("edges", edges)):
+        put(f',"{name}":[')
+        shown = [c for c in items.columns if c != "pos"]
+        parsed = [F.try_parse_json("properties").alias("properties") if c == "properties" else F.col(c) for c in shown]
+        for k, row in enumerate(items.orderBy("pos").select(F.to_json(F.struct(*parsed)).alias("item")).toLocalIterator()):
+            put(("," if k else "") + row.item)
+        put("]")
+    put(',"links":[]}')
+    out.close()
+    return size
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to remove; what can't be removed stays, as it is only a copy."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        return False
+
+
+def prune_views(spark: SparkSession, folder: str, current: str, most: int = 12) -> list[str]:
+    """Removes the stored views of the folder but the current one and the newest others, `most` in all; returns their names."""
+    if not _exists(spark, folder):
+        return []
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "view-*.json").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+    gone = [r.name for r in files.join(kept_views(files, current, most), "name", "left_anti").collect()]  # the views of one folder
+    for name in gone:
+        remove(spark, f"{folder}/{name}")
+    return sorted(gone)
+
+
+class SessionGraphs:
+    """Sessions' own documents, the last `most` that were first asked for; a missing, empty or unreadable file is an empty graph."""
+
+    def __init__(self, spark: SparkSession, merged: str, most: int = 64):
+        self.spark, self.merged, self.most = spark, merged, most
+        self.held: dict[str, tuple[DataFrame, DataFrame] | None] = {}
+
+    def get(self, stem: str) -> tuple[DataFrame, DataFrame] | None:
+        """Nodes and edges of the session; None for an empty graph."""
+        if stem not in self.held:
+            try:
+                docs = scan(self.spark, session_path(self.merged, stem))
+            except NotAGraph:
+                docs = None
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            self.held[stem] = None if docs is None else (nodes_of(docs), edges_of(docs))
+        return self.held[stem]
+
+
+def home_folder(env: dict[str, str], marked: str, exists) -> str:
+    """The engine's home: GRAPH_HOME unless blank, else `marked` under the user's home where it exists, else .graph there."""
+    if env.get("GRAPH_HOME", "").strip():
+        return env["GRAPH_HOME"]
+    home = env.get("HOME") or env.get("USERPROFILE") or ""
+    return f"{home}/{marked}" if exists(f"{home}/{marked}") else f"{home}/.graph"
+
+
+def sessions_folder(env: dict[str, str], merged: str) -> str:
+    """Where sessions' documents lie: GRAPH_SESSIONS, else `sessions` beside the merged document, else under the user's home."""
+    own = env.get("GRAPH_SESSIONS", "").strip()
+    if own:
+        return own.replace("~", env.get("HOME", ""), 1) if own.startswith("~/") else own
+    return f"{merged.rsplit('/', 1)[0] if merged.strip() else env.get('HOME', '') + '/.graph'}/sessions"
+
+
+def parse_bodies(requests: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """session, mode, error of requests (id, body): `error` is 'too large' beyond `most` bytes, 'no JSON' for broken text, 'no
+    session' without one; a blank body is an empty object, and any mode but `all` is `conversation`."""
+    body = F.when(clean(F.coalesce("body", F.lit(""))).isNull(), "{}").otherwise(F.col("body"))
+    v = F.try_parse_json(body)
+    session = F.coalesce(F.try_variant_get(v, "$.sessionId", "string"), F.lit(""))
+    error = F.when(F.octet_length("body") > most, "too large").when(v.isNull(), "no JSON").when(session == "", "no session")
+    mode = F.when(F.try_variant_get(v, "$.mode", "string") == "all", "all").otherwise("conversation")
+    return requests.select("id", F.when(error.isNull(), session).alias("session"), F.when(error.isNull(), mode).alias("mode"), error.alias("error"))
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """id, body, bytes: each row's other columns as a JSON text and its length in bytes."""
+    body = F.to_json(F.struct(*(c for c in rows.columns if c != "id")))
+    return rows.select("id", body.alias("body"), F.octet_length(body).alias("bytes"))
+
+
 def view_key(mode, session):
     """Name of a stored view: all, or conversation:<id>, with the version of the scoping rules."""
     return F.concat(F.when(mode == "all", "all").otherwise(F.concat(F.lit("conversation:"), session)), F.lit(":v3"))

@@ -1,6 +1,8 @@
 """Replay of a log of writes, as one batch and as a stream; decisions; toggles; scalar rules; documents."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,57 +13,97 @@ from quernel.sources import documents
 from quernel.streaming import writes
 from tests.conftest import rows
 
-A, B = "conv-a", "conv-b"
-LOG = [
-    ("add_entity", {"id": "town", "label": "Town", "type": "Location", "metadata": {"conversation": A, "user_city": "x"}}),
-    ("add_entity", {"id": "rain-a", "label": "Rain", "type": "Observation", "metadata": {"conversation": A}}),
-    ("add_relationship", {"source": "town", "target": "rain-a", "type": "has", "metadata": {"conversation": A}}),
-    ("add_entity", {"id": "town", "label": "Town", "type": "City", "metadata": {"conversation": B}}),
-    ("add_relationship", {"source": "town", "target": "town2", "type": "has", "metadata": {"conversation": f" {B} "}}),
-    ("record_decision", {"category": "a", "entities": ["rain-a"], "confidence": 0.9}),
-    ("record_decision", {"category": "b", "conversation": B}),
-    ("record_decision", {"category": "edge", "entities": [" ", "nobody", "town"]}),
-    ("record_decision", {"category": "none", "entities": "town"}),
-    ("update_node", {"node_id": "rain-a", "properties": {"status": "done"}, "conversation": A}),
-    ("delete_node", {"node_id": "rain-a", "conversation": A}),
-    ("query_graph", {"mode": "search"}),
-    ("add_relationship", {"source": "town", "target": "x", "type": "has"}),
-    ("delete_node", {"node_id": "town"}),
-]
-
-
-def log(spark, items=LOG):
+SESSIONS = ["k1", "k2", "k3"]
+
+
+def generated(seed: int, n: int = 160) -> list[tuple[str, dict]]:
+    """Random writes over a few ids and sessions; sessions are given outside, in the metadata, padded, blank, of a wrong type or not at all."""
+    rnd = random.Random(seed)
+    ids = [f"n{k}" for k in range(9)]
+
+    def place(args: dict) -> dict:
+        how = rnd.randrange(7)
+        tag = rnd.choice(SESSIONS)
+        if how == 0:
+            args["conversation"] = rnd.choice([tag, f"  {tag}\t", "", 7])
+        if how in (1, 2):
+            args["metadata"] = {"conversation": rnd.choice([tag, f" {tag} ", " ", None]), "more": how}
+        return args
+
+    made: list[tuple[str, dict]] = []
+    for k in range(n):
+        pick = rnd.choice(ids)
+        made.append(rnd.choice([
+            ("add_entity", place({"id": pick, "label": f"l{k}", "type": rnd.choice("XYZ")})),
+            ("add_relationship", place({"source": pick, "target": rnd.choice(ids), "type": "near"})),
+            ("record_decision", place({"category": f"c{k}", "entities": rnd.choice([[], [pick], [" ", "none", pick], [rnd.choice(ids), pick], pick]), "confidence": k / n})),
+            ("update_node", place({"node_id": pick, "properties": rnd.choice([{"status": f"s{k}"}, {"other": 1}])})),
+            ("delete_node", place({"node_id": pick})), ("read_back", place({"id": pick})),
+        ]))
+    return made
+
+
+def text(v):
+    return v.strip() or None if isinstance(v, str) else None
+
+
+def model(items):
+    """The same in plain Python: seq -> (session, how), and each store's nodes, edges and decisions."""
+    owner, routes, stores = {}, {}, {}
+    for seq, (tool, args) in enumerate(items):
+        if tool not in mutations.WRITE_TOOLS:
+            continue
+        inner = text((args.get("metadata") or {}).get("conversation"))
+        if tool == "add_entity":
+            owner[args["id"]] = inner or text(args.get("conversation"))
+        session, how = text(args.get("conversation")) or inner, "given"
+        if not session:
+            named = args["entities"] if isinstance(args.get("entities"), list) else []
+            session, how = next((owner[i] for i in [*named, args.get("node_id"), args.get("id")] if owner.get(i)), None), "owner"
+        routes[seq] = session, how if session else "merged only"
+        for store in {None, session}:
+            nodes, edges, decided = stores.setdefault(store, ({}, [], []))
+            if tool == "add_entity":
+                nodes[args["id"]] = [args["type"], args["label"], None]
+            elif tool == "add_relationship":
+                edges.append(seq)
+            elif tool == "record_decision":
+                decided.append(seq)
+            elif args["node_id"] in nodes:
+                status = "archived" if tool == "delete_node" else args["properties"].get("status")
+                nodes[args["node_id"]][2] = status or nodes[args["node_id"]][2]
+    return routes, stores
+
+
+def log(spark, items):
     return spark.createDataFrame([(k, t, json.dumps(a)) for k, (t, a) in enumerate(items)], "seq bigint, tool string, args string")
 
 
-WANT = [A, A, A, B, B, A, B, B, None, A, A, None, B]
-
-
-def test_route(spark):
-    got = mutations.route(log(spark)).orderBy("seq").collect()
-    assert [r.session for r in got] == WANT and [r.how for r in got][5:9] == ["owner", "given", "owner", "merged only"]
+@pytest.mark.parametrize("seed", [3, 8])
+def test_replay(spark, seed):
+    items = generated(seed)
+    routes, stores = model(items)
+    df = log(spark, items)
+    assert {r.seq: (r.session, r.how) for r in mutations.route(df).collect()} == routes
+    got = {(r.session, r.id): [r.type, r.label, r.status] for r in mutations.replay_nodes(df).collect()}
+    assert got == {(s, i): n for s, (nodes, _, _) in stores.items() for i, n in nodes.items()}
+    for k, replay in ((1, mutations.replay_edges), (2, mutations.replay_decisions)):
+        assert sorted(((r.session, r.seq) for r in replay(df).collect()), key=repr) == sorted(((s, q) for s, held in stores.items() for q in held[k]), key=repr)
     assert mutations.route(log(spark, [])).count() == 0
 
 
-def test_stores(spark):
-    by = {(r.session, r.id): r for r in mutations.replay_nodes(log(spark)).collect()}
-    assert by[None, "town"].type == "City" and by[A, "town"].type == "Location" and by[B, "town"].type == "City"
-    assert by[A, "rain-a"].status == by[None, "rain-a"].status == "archived" and (B, "rain-a") not in by
-    assert by[None, "town"].status == by[B, "town"].status == "archived" and by[A, "town"].status is None
-    assert rows(mutations.replay_edges(log(spark)).groupBy("session").count()) == sorted([(None, 3), (A, 1), (B, 1)], key=repr)
-    assert rows(mutations.replay_decisions(log(spark)).groupBy("session").count()) == sorted([(None, 4), (A, 1), (B, 2)], key=repr)
-
-
 def test_stream_gives_the_same(spark, tmp_path):
+    items = generated(5)
+    routes, _ = model(items)
     (tmp_path / "in").mkdir()
-    for k, part in enumerate((range(4), range(4, 9), range(9, len(LOG)))):
-        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps({"seq": i, "tool": LOG[i][0], "args": json.dumps(LOG[i][1])}) for i in part))
+    for k, part in enumerate((range(40), range(40, 41), range(41, 100), range(100, len(items)))):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps({"seq": i, "tool": items[i][0], "args": json.dumps(items[i][1])}) for i in part))
         q = writes.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
         q.awaitTermination(120)
         assert q.exception() is None
     got = {r.seq: r.session for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out/sessions")).collect()}
-    assert got == {seq: s for seq, s in zip([k for k, (t, _) in enumerate(LOG) if t != "query_graph"], WANT, strict=True) if s}
-    assert spark.read.parquet(str(tmp_path / "out/merged")).count() == len(LOG) - 1
+    assert got == {seq: s for seq, (s, _) in routes.items() if s}
+    assert spark.read.parquet(str(tmp_path / "out/merged")).count() == len(routes)
 
 
 def test_upsert(spark):
@@ -85,9 +127,9 @@ def test_times(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("../../evil/id", "/a/b/c/d"), ("", "a/b"), ("a😀b" + "x" * 200, "/x//y/z/w/")], "s string, p string")
+    df = spark.createDataFrame([("~/.. box:7/", "/a/b/c/d"), ("", "a/b"), ("a😀b" + "x" * 200, "/x//y/z/w/")], "s string, p string")
     got = df.select(S.file_stem(F.col("s")), S.file_stem(F.col("s"), "unknown"), S.short_path(F.col("p"))).collect()
-    assert [tuple(r) for r in got] == [("evil_id", "evil_id", "…/b/c/d"), (None, "unknown", "a/b"), ("a_b" + "x" * 117, "a_b" + "x" * 117, "…/y/z/w")]
+    assert [tuple(r) for r in got] == [("box_7", "box_7", "…/b/c/d"), (None, "unknown", "a/b"), ("a_b" + "x" * 117, "a_b" + "x" * 117, "…/y/z/w")]
     df = spark.createDataFrame([("a: 1\n  KEY: '~/g.json'  \nKEY: second",), ("KEY:   ",), ("XKEY: 1",), (None,)], "t string")
     assert [r[0] for r in df.select(S.key_value(F.col("t"), "KEY", "/home/u")).collect()] == ["/home/u/g.json", None, None, None]
     df = spark.createDataFrame([('{"conversation": "", "session": "s"}',), ('{"session": ["a", 5, "b"]}',), ('{"conversation": null, "session": "s"}',), ('{"conversation": 7}',), ("[1]",), (None,)], "m string")
@@ -106,6 +148,9 @@ def test_toggles(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("c",)], "session_id string")
     assert rows(toggles.resolve(asked, stored, True)) == [("a", False, True), ("b", True, True), ("c", True, False)]
     assert rows(toggles.newest(stored, 1)) == [("a", False, "2")]
+    kept = toggles.stored_form(stored, False, 1).select(F.lit("f").alias("name"), "text")
+    assert rows(toggles.migrate(kept)) == [("f", False, "a", False, "2")]
+    assert rows(toggles.migrate(toggles.stored_form(stored.limit(0), True).select(F.lit("f").alias("name"), "text"))) == [("f", True, None, None, None)]
 
 
 def test_documents(spark, tmp_path):
@@ -135,6 +180,12 @@ def test_documents(spark, tmp_path):
     with pytest.raises(documents.NotAGraph):
         documents.scan(spark, f"file://{tmp_path}/bad.json")
     nodes, edges = documents.nodes_of(docs).drop("path"), documents.edges_of(docs).drop("path")
+    size = documents.write_document(nodes, edges, f"file://{tmp_path}/one.json", "g")
+    back = json.loads((tmp_path / "one.json").read_text())
+    assert (tmp_path / "one.json").stat().st_size == size and (back["graph_id"], back["links"], len(back["nodes"]), len(back["edges"])) == ("g", [], 5, 2)
+    assert rows(documents.edges_of(documents.scan(spark, f"file://{tmp_path}/one.json")).select("source_id", "target_id")) == [("a", "2"), ("a", "d")]
+    with pytest.raises(ValueError):
+        documents.write_document(nodes, edges, f"file://{tmp_path}/two.json", most=6)
     documents.write_lines(nodes, edges, str(tmp_path / "lines"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "lines")).collect()]
     assert sorted(x["kind"] for x in lines) == ["edge"] * 2 + ["node"] * 5
@@ -148,3 +199,31 @@ def test_documents(spark, tmp_path):
     held = held.withColumn("has_plugin", F.lit(False))
     assert rows(documents.resolve_source(held, None, "/d")) == [("/data/g.json", "profile:web", 1)]
     assert rows(documents.resolve_source(held.limit(0), " /e ", "/d")) == [("/e", "env", 0)] and rows(documents.resolve_source(held.limit(0), None, "/d")) == [("/d", "default", 0)]
+
+
+def test_files(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"view-{k}.json").write_text("{}")
+        os.utime(tmp_path / f"view-{k}.json", (1000 + k, 1000 + k))
+    (tmp_path / "other.json").write_text("{}")
+    assert documents.prune_views(spark, f"file://{tmp_path}", "view-0.json", 3) == ["view-1.json", "view-2.json"]
+    assert sorted(f.name for f in tmp_path.glob("*.json")) == ["other.json", "view-0.json", "view-3.json", "view-4.json"]
+    assert documents.prune_views(spark, f"file://{tmp_path}/none", "x") == [] and not documents.remove(spark, f"file://{tmp_path}/none")
+    (tmp_path / "sessions").mkdir()
+    (tmp_path / "sessions/bad.json").write_text("[")
+    (tmp_path / "sessions/ok.json").write_text('{"nodes": [{"id": "a"}], "edges": []}')
+    held = documents.SessionGraphs(spark, f"file://{tmp_path}/kg.json", 2)
+    assert held.get("bad") is None and held.get("none") is None and held.get("ok")[0].count() == 1 and list(held.held) == ["none", "ok"]
+    assert documents.home_folder({"GRAPH_HOME": "/g"}, "m", lambda p: True) == "/g" and documents.home_folder({"HOME": "/h", "GRAPH_HOME": " "}, "m", lambda p: True) == "/h/m"
+    assert documents.home_folder({"HOME": "/h"}, "m", lambda p: False) == "/h/.graph"
+    assert [documents.sessions_folder(e, m) for e, m in (({"GRAPH_SESSIONS": "~/s", "HOME": "/h"}, "/d/g.json"), ({}, "/d/g.json"), ({"HOME": "/h"}, ""))] == ["/h/s", "/d/sessions", "/h/.graph/sessions"]
+
+
+def test_requests(spark):
+    bodies = [(1, '{"sessionId": "s", "mode": "all"}'), (2, '{"sessionId": "s", "mode": 5}'), (3, " "), (4, "{"), (5, '{"sessionId": "' + "x" * 200 + '"}'), (6, None)]
+    got = documents.parse_bodies(spark.createDataFrame(bodies, "id int, body string"), 100)
+    assert rows(got) == [(1, "s", "all", None), (2, "s", "conversation", None), (3, None, None, "no session"), (4, None, None, "no JSON"), (5, None, None, "too large"), (6, None, None, "no session")]
+    out = documents.responses(got.where("id = 1").select("id", "mode", F.lit("é").alias("x"))).first()
+    assert (out.body, out.bytes) == ('{"mode":"all","x":"é"}', 23)
+    df = spark.createDataFrame([("2025-03-08T09:30:00.500Z",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.minute(F.col("t"))).collect()] == ["2025-03-08 09:30", None]
