@@ -1,10 +1,10 @@
 """Nested JSON text to flat rows, each linked to its parent object and its row, over Arrow buffers.
 
-A batch of texts is one byte buffer with offsets. Quotes, brackets and commas are found in the whole buffer at once; the
-depth of nesting is a running sum; the parent of a container is the last container opened one level up, found for a whole
-level by one search (the parent-index kernel), and paths go from parents to children by a vectorised take, a level at a
-time. No row is parsed in Python. Strings that hold the text of an object or array are taken out, decoded and put
-through the same kernels with the path where they stood, until none is left.
+A batch of texts is one byte buffer with offsets, whose structure is a `Tape`. The parent of a container is the last
+container opened one level up, found for a whole level by one search (the parent-index kernel), and paths go from parents to
+children by a vectorised take, a level at a time. No row is parsed in Python. Strings that hold the text of an object or
+array are taken out, decoded and put through the same kernels with the path where they stood, until none is left. What is
+JSON is decided by the tape alone, for texts and for texts in strings.
 """
 
 from __future__ import annotations
@@ -18,94 +18,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.json_tape import BLANK, CLOSE, COLON, OPEN, TOKENS, Tape, substrings
+
 #: Bytes of text that go through the kernels at once; a longer text is a slice of its own.
 SLICE_BYTES = 16 << 20
-OPEN, CLOSE, COMMA, COLON = 1, 2, 3, 4
-KIND = np.zeros(256, np.uint8)
-KIND[[0x7B, 0x5B]], KIND[[0x7D, 0x5D]], KIND[0x2C], KIND[0x3A] = OPEN, CLOSE, COMMA, COLON
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
-
-
-def strict_json(text: str):
-    """The column is one JSON value and nothing else; null for null. Single quotes, NaN and double keys aren't JSON here."""
-    return F.col(text).isNotNull() & F.try_parse_json(F.col(text)).isNotNull() & (F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1)
-
-
-def substrings(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: bytes = b"") -> pa.Array:
-    """Strings data[start:end], each behind `prefix`, gathered without a loop."""
-    size, k = (end - start).astype(np.int64), len(prefix)
-    offsets = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(size + k, out=offsets[1:])
-    out = np.empty(offsets[-1], np.uint8)
-    for i in range(k):
-        out[offsets[:-1] + i] = prefix[i]
-    at = np.repeat(offsets[:-1] + k - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else offsets[:0], size) + np.arange(size.sum())
-    out[at] = data[np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else start, size) + np.arange(size.sum())]
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(out)) if len(start) else pa.array([], pa.large_string())
+_CONTAINER = r"^[ \t\n\r]*[{\[]"
 
 
 def joined(*parts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*parts, pa.scalar("", pa.large_string()))
 
 
-class Tape:
-    """Structure of a batch of valid JSON texts: containers in order of their opening, with level, parent and slot."""
-
-    def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        self.data = data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.empty(0, np.uint8)
-        self.ends = offsets[1:] - offsets[0]
-        quote = data == 0x22
-        if len(slash := np.flatnonzero(data == 0x5C)):
-            first = np.flatnonzero(np.diff(slash, prepend=-2) != 1)
-            length = np.diff(np.append(first, len(slash)))
-            after = slash[first] + length
-            after = after[(length % 2 == 1) & (after < len(data))]
-            quote[after] = False
-        marks = np.flatnonzero(quote)
-        self.first, self.last = marks[0::2], marks[1::2]
-        outside = np.bitwise_xor.accumulate(quote.view(np.uint8)) == 0
-        self.at = at = np.flatnonzero((KIND[data] > 0) & outside)
-        self.kind = kind = KIND[data[at]]
-        self.depth = np.cumsum((kind == OPEN).astype(np.int32) - (kind == CLOSE))
-        up_to = np.searchsorted(at, self.ends) - 1
-        self.sound = len(marks) % 2 == 0 and not self.depth[up_to[up_to >= 0]].any() and (self.depth >= 0).all() and not (np.searchsorted(marks, self.ends) % 2).any()
-        if not self.sound:
-            return
-        opened = kind == OPEN
-        self.begin, self.level = at[opened], self.depth[opened]
-        self.is_object = data[self.begin] == 0x7B
-        order = np.argsort(self.level, kind="stable")
-        bounds = np.searchsorted(self.level[order], np.arange(1, (self.level.max() if len(order) else 0) + 2))
-        self.of_level = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        comma = kind == COMMA
-        commas, depths = at[comma], self.depth[comma]
-        order = np.argsort(depths, kind="stable")
-        bounds = np.searchsorted(depths[order], np.arange(1, len(self.of_level) + 2))
-        self.commas = [commas[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def row(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, side="right")
-
-    def holder(self, at: np.ndarray, level: int) -> np.ndarray:
-        """Containers of a level (from 1) that hold the positions."""
-        own = self.of_level[level - 1]
-        return own[np.searchsorted(self.begin[own], at) - 1]
-
-    def step(self, at: np.ndarray, level: int, parent: np.ndarray, name: np.ndarray) -> pa.Array:
-        """How a path goes on from the parents, of `level`, to what stands at the positions; name: its key's string."""
-        commas = self.commas[level - 1]
-        index = np.searchsorted(commas, at) - np.searchsorted(commas, self.begin[parent])
-        inside = self.is_object[parent]
-        keys = substrings(self.data, self.first[name[inside]] + 1, self.last[name[inside]], b".")
-        if pc.any(pc.match_substring(keys, "\\")).as_py():
-            keys = pa.array([json.loads(f'"{k}"') if "\\" in k else k for k in keys.to_pylist()], pa.large_string())
-        slots = joined(pa.scalar("[", pa.large_string()), pa.array(index[~inside]).cast(pa.large_string()), pa.scalar("]", pa.large_string()))
-        where = np.empty(len(at), np.int64)
-        where[np.flatnonzero(inside)], where[np.flatnonzero(~inside)] = np.arange(inside.sum()), inside.sum() + np.arange((~inside).sum())
-        return pa.concat_arrays([keys, slots.cast(pa.large_string())]).take(pa.array(where))
+def step(tape: Tape, at: np.ndarray, level: int, parent: np.ndarray, name: np.ndarray) -> pa.Array:
+    """How a path goes on from the parents, of `level`, to what stands at the positions; name: its key's string."""
+    commas = tape.commas[level - 1]
+    index = np.searchsorted(commas, at) - np.searchsorted(commas, tape.begin[parent])
+    inside = tape.is_object[parent]
+    keys = substrings(tape.data, tape.first[name[inside]] + 1, tape.last[name[inside]], b".")
+    if pc.any(pc.match_substring(keys, "\\")).as_py():
+        keys = joined(pa.scalar(".", pa.large_string()), tape.decoded(tape.first[name[inside]], tape.last[name[inside]]))
+    slots = joined(pa.scalar("[", pa.large_string()), pa.array(index[~inside]).cast(pa.large_string()), pa.scalar("]", pa.large_string()))
+    where = np.empty(len(at), np.int64)
+    where[np.flatnonzero(inside)], where[np.flatnonzero(~inside)] = np.arange(inside.sum()), inside.sum() + np.arange((~inside).sum())
+    return pa.concat_arrays([keys, slots.cast(pa.large_string())]).take(pa.array(where))
 
 
 def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False, fields: bool = False) -> pa.Table:
@@ -114,15 +49,8 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False, field
     found: list[pa.Table] = []
     base = elder = grand = pa.array(["$"] * len(texts), pa.large_string())
     element = np.zeros(len(texts), bool)
-    while len(texts):
-        tape = Tape(texts)
-        if not tape.sound:  # a text that isn't JSON came in: find it the slow way
-            ok = np.array([_is_json(t) for t in texts.to_pylist()])
-            if ok.all():
-                raise ValueError("structure of valid JSON not understood")
-            texts, rows, element = texts.filter(pa.array(ok)), rows[ok], element[ok]
-            base, elder, grand = base.filter(pa.array(ok)), elder.filter(pa.array(ok)), grand.filter(pa.array(ok))
-            continue
+    tape = Tape(texts)
+    while len(tape.ends):
         # of each container: path, nearest enclosing object that is an element (or the base), the one around that, whether
         # it is one itself
         paths, elders, grands, emitted = [], [], [], []
@@ -141,7 +69,7 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False, field
                 parent = tape.holder(at, level - 1)
                 name = np.searchsorted(tape.last, at) - 1
                 up = pa.array(place[parent])
-                paths.append(joined(paths[-1].take(up), tape.step(at, level - 1, parent, name)))
+                paths.append(joined(paths[-1].take(up), step(tape, at, level - 1, parent, name)))
                 if fields:
                     grands.append(_below(elders[-1], grands[-1], emitted[-1]).take(up))
                 elders.append(_below(paths[-2], elders[-1], emitted[-1]).take(up))
@@ -154,24 +82,85 @@ def flatten_texts(texts: pa.Array, rows: np.ndarray, values: bool = False, field
                     shut = tape.at[(tape.kind == CLOSE) & (tape.depth == level - 1)]
                     table["value"] = substrings(tape.data, at, shut[np.searchsorted(shut, at)] + 1)
                 found.append(pa.table(table))
-        opened, *following = _encoded(tape, rows, base, elder, grand, place, paths, elders, grands, emitted)
+        inner, opened, following = _encoded(tape, rows, base, elder, grand, place, paths, elders, grands, emitted)
         if fields:
             found += _fields(tape, rows, opened, place, paths, elders, grands, emitted)
-        texts, rows, base, elder, grand, element = following
+        if len(tape.deep):
+            more = []
+            for k in tape.deep.tolist():
+                found += _walk(tape.text(k), int(rows[k]), (base[k].as_py(), elder[k].as_py(), grand[k].as_py(), bool(element[k])), values, fields, more)
+            if more:
+                inner = Tape(pa.concat_arrays([substrings(inner.data, inner.starts, inner.ends), pa.array([m[0] for m in more], pa.large_string())]))
+                added = [np.array([m[1] for m in more], np.int64), *(pa.array([m[k] for m in more], pa.large_string()) for k in (2, 3, 4)), np.array([m[5] for m in more], bool)]
+                following = [np.concatenate((x, y)) if isinstance(x, np.ndarray) else pa.concat_arrays([x, y]) for x, y in zip(following, added, strict=True)]
+        tape, (rows, base, elder, grand, element) = inner, following
     added = ["parent_path", "path", *(["name", "type", "value"] if fields else ["value"] * values)]
     return pa.concat_tables(found) if found else pa.table({"row": pa.array([], pa.int64())} | {c: pa.array([], pa.large_string()) for c in added})
 
 
-def _below(path: pa.Array, elder: pa.Array, emitted: np.ndarray) -> pa.Array:
-    return pc.if_else(pa.array(emitted), path, elder) if emitted.any() else elder
+def _walk(text: str, row: int, start: tuple[str, str, str, bool], values: bool, fields: bool, inner: list[tuple]) -> Iterator[pa.Table]:
+    """What the levels give, for one text that nests too deeply to be worked through level by level: token by token, with a
+    stack of its own, paths written out only where something comes out. Strings to open are added to `inner`."""
+    base, elder, grand, element = start
+    path, stack, out = [base], [], []  # stack: object?, place, elder, grand, emitted, own path, begin, row of the result, key
+    previous, bare = "", None
+
+    def around(frame) -> tuple[str, str]:
+        return (frame[5], frame[2]) if frame[4] else (frame[2], frame[3])
+
+    def part(frame) -> str:
+        return f".{frame[8]}" if frame[0] else f"[{frame[1]}]"
+
+    def put(frame, name: str, kind: str, value: str | None) -> None:
+        near, parent = around(frame)
+        if near != "$":
+            out.append((parent, near, name[len(near) + 1 :], kind, value))
+
+    for m in TOKENS.finditer(text):
+        token = m.group()
+        if token in "{[":
+            if stack:
+                top = stack[-1]
+                path.append(part(top))
+                near, parent = around(top)
+                emitted = token == "{" and not top[0]
+            else:
+                near, parent, emitted = elder, grand, element and token == "{"
+            own = "".join(path) if emitted else None
+            stack.append([token == "{", 0, near, parent, emitted, own, m.start(), len(out), None])
+            if emitted and not fields:
+                out.append([near, own])
+        elif token in "}]":
+            top = stack.pop()
+            if top[4] and values and not fields:
+                out[top[7]].append(text[top[6] : m.end()])
+            if fields and previous in "{[" and not top[4] and top[2] != "$":
+                whole = "".join(path)
+                out.append((top[3], top[2], whole[len(top[2]) + 1 :], "object" if top[0] else "array", "{}" if top[0] else "[]"))
+            path.pop()
+        elif token == ",":
+            stack[-1][1] += 1
+        elif token != ":":
+            top = stack[-1]
+            if top[0] and previous in "{,":
+                top[8] = json.loads(token)
+            else:
+                value = json.loads(token) if token[0] == '"' else None
+                if value is not None and value.lstrip(" \t\n\r")[:1] in ("{", "[") and Tape(pa.array([value], pa.large_string())).valid[0]:
+                    near, parent = around(top)
+                    inner.append((value, row, "".join(path) + part(top), near, parent, not top[0]))
+                elif fields:
+                    kind, bare = ("string", value) if value is not None else ("null", None) if token == "null" else ("boolean" if token[0] in "tf" else "number", token)
+                    put(top, "".join(path) + part(top), kind, bare)
+        previous = token
+    if out:
+        names = ["parent_path", "path", *(["name", "type", "value"] if fields else ["value"] * values)]
+        columns = zip(*out, strict=True)
+        yield pa.table({"row": pa.array([row] * len(out), pa.int64())} | {n: pa.array(c, pa.large_string()) for n, c in zip(names, columns, strict=True)})
 
 
-def _is_json(text: str) -> bool:
-    try:
-        json.loads(text)
-    except (ValueError, RecursionError):
-        return False
-    return True
+def _below(path: pa.Array, elder: pa.Array, emitted: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(emitted), path, elder) if emitted.any() else elder
 
 
 def _fields(tape: Tape, rows, opened, place, paths, elders, grands, emitted) -> Iterator[pa.Table]:
@@ -200,8 +189,8 @@ def _fields(tape: Tape, rows, opened, place, paths, elders, grands, emitted) ->
         if len(which):
             up = pa.array(place[holder])
             name = np.maximum(np.searchsorted(tape.last, begin[which]) - 1, 0)  # the key of a field in an object
-            full = joined(paths[k - 1].take(up), tape.step(begin[which], k, holder, name))
-            kind, value = _scalars(tape.data, begin[which], end[which])
+            full = joined(paths[k - 1].take(up), step(tape, begin[which], k, holder, name))
+            kind, value = _scalars(tape, begin[which], end[which])
             path, parent = path.take(up), parent.take(up)
             yield pa.table({"row": pa.array(rows[tape.row(begin[which])]), "parent_path": parent, "path": path, "name": _from(full, path), "type": kind, "value": value})
         bare = np.flatnonzero(hollow[own] & ~emitted[k - 1] & pc.not_equal(elders[k - 1], "$").to_numpy(zero_copy_only=False))
@@ -221,45 +210,39 @@ def _from(path: pa.Array, start: pa.Array) -> pa.Array:
     return substrings(data, ends[:-1] + pc.binary_length(start).to_numpy(zero_copy_only=False).astype(np.int64) + 1, ends[1:])
 
 
-def _scalars(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
+def _scalars(tape: Tape, begin: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Type and value of JSON scalars: strings decoded, numbers and booleans as written, null for null."""
     kinds = np.array(["number", "string", "boolean", "null"])
-    lead = data[begin]
+    lead = tape.data[begin]
     kind = (lead == 0x22) * 1 + ((lead == 0x74) | (lead == 0x66)) * 2 + (lead == 0x6E) * 3
     quoted = kind == 1
-    value = substrings(data, begin + quoted, end - quoted)
-    escaped = quoted & pc.match_substring(value, "\\").to_numpy(zero_copy_only=False)
-    if escaped.any():
-        # a lone surrogate has no UTF-8
-        decoded = [json.loads(f'"{v}"', strict=False).encode("utf-8", "replace").decode() for v in value.filter(pa.array(escaped)).to_pylist()]
-        value = pc.replace_with_mask(value, pa.array(escaped), pa.array(decoded, pa.large_string()))
+    value = substrings(tape.data, begin, end)
+    if quoted.any():
+        value = pc.replace_with_mask(value, pa.array(quoted), tape.decoded(begin[quoted], end[quoted] - 1))
     value = pc.if_else(pa.array(kind == 3), pa.scalar(None, pa.large_string()), value)
     return pa.array(kinds[kind], pa.large_string()), value
 
 
 def _encoded(tape: Tape, rows, base, elder, grand, place, paths, elders, grands, emitted):
-    """String values that are the text of an object or array: where they start, and with where they stand the next batch."""
+    """String values that are the text of an object or array: their tape, where they start, and with where they stand the
+    next batch: rows, base, elder, grand, whether each is an element."""
     at = tape.first + 1
-    while (blank := BLANK[tape.data[np.minimum(at, len(tape.data) - 1)]] & (at < tape.last)).any():
+    most = max(len(tape.data) - 1, 0)
+    while (blank := BLANK[tape.data[np.minimum(at, most)]] & (at < tape.last)).any():
         at = at + blank
-    lead = tape.data[np.minimum(at, len(tape.data) - 1)] if len(tape.data) else np.empty(0, np.uint8)
+    lead = tape.data[np.minimum(at, most)] if len(at) else np.empty(0, np.uint8)
     following = np.minimum(np.searchsorted(tape.at, tape.last), max(len(tape.at) - 1, 0))
     is_key = (tape.kind[following] == COLON) & (tape.at[following] > tape.last) if len(tape.at) else np.zeros(len(at), bool)
-    # an escape in front may stand for white space
+    # an escape in front may stand for white space or for the bracket
     which = np.flatnonzero(((lead == 0x7B) | (lead == 0x5B) | (lead == 0x5C)) & (at < tape.last) & ~is_key)
-    texts, slots = [], []
-    for i in which:
-        try:
-            text = json.loads(tape.data[tape.first[i] : tape.last[i] + 1].tobytes())
-            if isinstance(json.loads(text), dict | list):
-                texts.append(text)
-                slots.append(i)
-        except (ValueError, RecursionError):  # text in a string that is nested beyond the parser's depth stays a string
-            pass
-    name = np.array(slots, np.int64)
+    texts = tape.decoded(tape.first[which], tape.last[which])
+    able = pc.match_substring_regex(texts, _CONTAINER).to_numpy(zero_copy_only=False) if len(which) else np.zeros(0, bool)
+    inner = Tape(texts.filter(pa.array(able)))
+    name, texts = which[able][inner.valid], texts.filter(pa.array(able)).filter(pa.array(inner.valid))
     at = tape.first[name]
     before = np.searchsorted(tape.at, at) - 1
-    level = np.where(before >= 0, tape.depth[np.maximum(before, 0)], 0) if len(tape.at) else np.zeros(len(at), np.int64)
+    # marks of another text before a string that stands alone aren't its container's
+    level = np.where((before >= 0) & (tape.row(at) == tape.row(tape.at[np.maximum(before, 0)])), tape.depth[np.maximum(before, 0)], 0) if len(tape.at) else np.zeros(len(at), np.int64)
     row = tape.row(at)
     top = pa.array(row[level == 0])
     out_base, out_elder, out_grand, flags, order = [base.take(top)], [elder.take(top)], [grand.take(top)], [np.zeros((level == 0).sum(), bool)], [np.flatnonzero(level == 0)]
@@ -268,15 +251,18 @@ def _encoded(tape: Tape, rows, base, elder, grand, place, paths, elders, grands,
         parent = tape.holder(at[own], int(k))
         up = pa.array(place[parent])
         # the key of a string value is the string before it
-        out_base.append(joined(paths[k - 1].take(up), tape.step(at[own], int(k), parent, np.maximum(name[own] - 1, 0))))
+        out_base.append(joined(paths[k - 1].take(up), step(tape, at[own], int(k), parent, np.maximum(name[own] - 1, 0))))
         out_elder.append(_below(paths[k - 1], elders[k - 1], emitted[k - 1]).take(up))
         # without fields nothing reads it
         out_grand.append(_below(elders[k - 1], grands[k - 1], emitted[k - 1]).take(up) if grands else out_elder[-1])
         flags.append(~tape.is_object[parent])
         order.append(own)
     order = np.concatenate(order)
-    texts = pa.array(texts, pa.large_string()).take(pa.array(order))
-    return tape.first[name], texts, rows[row[order]], *(pa.concat_arrays(x) for x in (out_base, out_elder, out_grand)), np.concatenate(flags)
+    if len(order) and not ((np.diff(order) > 0).all() and len(order) == len(inner.ends)):
+        inner = Tape(texts.take(pa.array(order)))
+    elif not len(order):
+        inner = Tape(pa.array([], pa.large_string()))
+    return inner, at, [rows[row[order]], *(pa.concat_arrays(x) for x in (out_base, out_elder, out_grand)), np.concatenate(flags)]
 
 
 def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = False, fields: bool = False) -> DataFrame:
@@ -286,7 +272,8 @@ def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = Fals
     nearest object around them that is an element; a name is the path from there, such as `a`, `a.b` or `a[0]`.
 
     parent_path is the nearest enclosing object that is itself an element, else '$'. Null, blank and broken text, and
-    JSON without arrays of objects, give no rows; repeated rows give their rows each; other columns don't matter.
+    JSON without arrays of objects, give no rows; repeated rows give their rows each, and so do repeated keys of one object;
+    other columns don't matter. Nesting has no limit of depth.
     """
     schema = df.select(*keys).schema
     added = ["parent_path", "path", *(["name", "type", "value"] if fields else ["value"] * values)]
@@ -309,7 +296,8 @@ def array_objects(df: DataFrame, keys: list[str], text: str, values: bool = Fals
                     yield pa.RecordBatch.from_arrays(columns, names=[*keys, *added])
                 begin = end
 
-    held = df.where(F.col(text).rlike(r"[\[]")).where(strict_json(text)).select(*keys, F.col(text).alias("__text"))
+    # an array needs its bracket, as it is or by its number
+    held = df.where(F.col(text).contains("[") | F.col(text).contains("u005")).select(*keys, F.col(text).alias("__text"))
     return held.mapInArrow(run, out)
 
 

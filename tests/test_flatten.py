@@ -8,8 +8,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quernel.operators.flatten import Tape, array_objects, flatten_texts, nested_objects
+from quernel.functions import json_tape
+from quernel.functions.json_tape import Tape, filled, opened
+from quernel.operators.flatten import array_objects, flatten_texts, nested_objects
 from quernel.plans.core_queries import QUERIES
 from tests.conftest import rows
 
@@ -66,7 +69,7 @@ def test_walk(values):
 def test_broken_text_among_good(spark):
     good = '{"a": [{"b": 1}]}'
     cases = [good, '{"a": [{"b": 1}]', '{"a": [{"b": 1}]} x', "", None, "null", '"[{}]"', "[{}, [{}]]", '{"a": [{"b": 1},]}', "{'a': [{}]}", '{"a": "]{"}', good]
-    assert not Tape(pa.array([cases[1], good])).sound
+    assert Tape(pa.array([cases[1], good])).valid.tolist() == [False, True]
     df = spark.createDataFrame(list(enumerate(cases)), "pos bigint, text string").withColumnRenamed("text", "properties")
     want = [(0, "$", "$.a[0]"), (6, "$", "$[0]"), (7, "$", "$[0]"), (7, "$", "$[1][0]"), (11, "$", "$.a[0]")]
     assert rows(array_objects(df, ["pos"], "properties")) == sorted(want, key=repr)
@@ -74,6 +77,68 @@ def test_broken_text_among_good(spark):
     assert got["row"].to_pylist() == [6]
 
 
+def is_json(text):
+    def no(_):
+        raise ValueError
+
+    try:
+        json.loads(text, parse_constant=no)
+    except ValueError:
+        return False
+    return True
+
+
+pieces = st.sampled_from(["{", "}", "[", "]", ",", ":", '"', '"a"', "1", "-0.5e3", "01", "1.", "true", "nul", "NaN", "\\", "\\u00e9", "\\x", " ", "\n", "\t", "中", "\x01", "'", "{}", "[1]", '"a":'])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(pieces, max_size=7).map("".join) | st.tuples(nested.map(json.dumps), pieces, st.integers(0, 30)).map(lambda t: t[0][: t[2]] + t[1] + t[0][t[2] :]), max_size=5))
+def test_what_is_json(texts):
+    assert Tape(pa.array(texts, pa.string())).valid.tolist() == [is_json(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(nested, max_size=5))
+def test_deep_walk_gives_the_same(values):
+    texts = pa.array([json.dumps(v) for v in values], pa.string())
+    for fields in (False, True):
+        names = FIELDS if fields else (*FIELDS[:3], "value")
+        got = []
+        for deep in (256, 1):
+            before, json_tape.DEEP = json_tape.DEEP, deep
+            try:
+                t = flatten_texts(texts, np.arange(len(texts)), not fields, fields)
+            finally:
+                json_tape.DEEP = before
+            got.append(sorted(zip(*(t[c].to_pylist() for c in names), strict=True), key=repr))
+        assert got[0] == got[1]
+
+
+def test_one_notion_of_json(spark):
+    inner = "[" * 1100 + "{}" + "]" * 1100
+    cases = [inner, json.dumps({"k": inner}), '{"a":[{"b":1},{"b":2,"b":3}]}', json.dumps({"k": '[{"x":NaN}]'}), '[{"x":NaN}]', json.dumps({"k": "[{}]\x00"}), '["\\u005b{}]"]', "[" * 100_000 + "{}" + "]" * 100_000, json.dumps(["[" * 100_000 + "{}" + "]" * 100_000])]
+    df = spark.createDataFrame(list(enumerate(cases)), "pos bigint, j string")
+    got = rows(array_objects(df, ["pos"], "j").select("pos", "parent_path", F.xxhash64("path")))
+    want = [(0, "$", "$" + "[0]" * 1100), (1, "$", "$.k" + "[0]" * 1100), (2, "$", "$.a[0]"), (2, "$", "$.a[1]"), (6, "$", "$[0][0]"), (7, "$", "$" + "[0]" * 100_000), (8, "$", "$[0]" + "[0]" * 100_000)]
+    assert got == rows(spark.createDataFrame(want, "pos bigint, parent_path string, path string").select("pos", "parent_path", F.xxhash64("path")))
+    many = json.dumps({"a": 1})
+    for _ in range(8):
+        many = json.dumps([{"x": many}])  # an encoded text in an encoded text, eight deep
+    assert array_objects(spark.createDataFrame([(1, many)], "pos bigint, j string"), ["pos"], "j").count() == 8
+
+
+def test_filled():
+    object_ = '{"a": 1, "b": " \u3000", "c": [ ], "d": {}, "e": null, "f": "[ ]", "g": "{}", "h": [0], "i": {"x": null}, "j": false, "k": "x\\n", "l": ""}'
+    encoded = object_
+    for _ in range(6):
+        encoded = json.dumps(encoded)
+    deep = '{"a": ' + "[" * 2000 + "]" * 2000 + ', "b": [], "c": {"d": 1}, "e": " ", "f": 0}'
+    texts = [object_, encoded, None, "", "[1]", '"text"', '{"a": 1', '{"a": 1} x', '{"a": 1, "a": ""}', '{"a": "", "a": 1}', deep, "{}", '"{\\"a\\": 1}"', " {}"]
+    assert filled(pa.array(texts, pa.string())).tolist() == [5, 5, 0, 0, 0, 0, 0, 0, 0, 1, 3, 0, 1, 0]
+    assert filled(pa.array([], pa.string())).tolist() == []
+    assert opened(pa.array([encoded]))[0].to_pylist() == [object_]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, '[{"x": {"y": [{"z": 2}]}}]', "t", "p", "c")], "pos bigint, j string, tbl string, path string, col string")
     out = nested_objects([("n", "j", df)], values=True)
