@@ -40,18 +40,28 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.representatives(nodes, keyed, copies.collapse(keyed)).select("pos", "id", "label", "copies_held")
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.with_trust(read(spark, sf_dir, "kg_nodes"), read(spark, sf_dir, "kg_writers"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = survivors.with_trust(read(spark, sf_dir, "kg_nodes"), read(spark, sf_dir, "kg_writers"))
+    """No field depends on another here, so the search ends at its root in every group."""
+    rows = survivors.counted_metadata(_rows(spark, sf_dir))
     return survivors.winners(survivors.best_bundles(rows, survivors.node_bundles()), ["type", "label", "metadata"])
 
 
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors whose type and label must stand side by side in some row of the id."""
-    rows = survivors.with_trust(read(spark, sf_dir, "kg_nodes"), read(spark, sf_dir, "kg_writers"))
-    best = survivors.best_bundles(rows, survivors.consistent_bundles(), (("type", "label"),))
+    best = survivors.best_bundles(_rows(spark, sf_dir), survivors.consistent_bundles(), (("type", "label"),))
     return best.where("rows >= 2").select("id", F.col("type").alias("type_pos"), F.col("label").alias("label_pos"))
 
 
+def p5_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors of bundles of several fields: name, place and extraction, the last two as they stood beside the name."""
+    best = survivors.best_bundles(survivors.with_parts(_rows(spark, sf_dir)), *survivors.dependent_bundles())
+    return best.where("rows >= 2").select("id", *(F.col(b).alias(f"{b}_pos") for b in ("name", "place", "extraction")))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = tokens.token_sizes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
     return packing.pack(sizes, read(spark, sf_dir, "pack_sizes"))[0]
@@ -101,7 +111,7 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_decision_pairs, p1_conversation_pairs, p4_found, p4_entities, p5_found, p5_consistent,
+        p1_found, p1_decision_pairs, p1_conversation_pairs, p4_found, p4_entities, p5_found, p5_consistent, p5_bundles,
         p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_profile, p9_validation,
     )
 }

@@ -1,34 +1,35 @@
 """The best surviving record of each duplicate group, built of whole bundles of fields.
 
 A bundle is a group of fields that only make sense together and are taken from one row. Every row offers a candidate for
-each bundle, ranked by the bundle's own order (trust first, as a rule). The best choice maximises the sum of the
-bundles' trusts under functional-dependency constraints: a constraint (A, B) allows a value of A only with a value of B that
-some row of the group holds beside it.
-
-Branch and bound: the bound of a group is its relaxed optimum, each bundle's best candidate without constraints, one
-aggregation with partial maxima. Where the relaxed optimum satisfies the constraints, or there are none, it is the answer
-at the root and nothing is branched. Only the other groups are searched, over distinct values, not rows, each group cut by
-the first bundle's values into parts that are searched apart, with the best whole row as first incumbent.
+each bundle, ranked by the bundle's own order (trust first, as a rule). The best choice fills as many bundles as it can and
+then maximises the sum of the bundles' trusts under functional-dependency constraints: a constraint (A, B) allows a value
+of A only with a value of B that some row of the group holds beside it.
+
+Branch and bound, all of it as aggregates, so that no group is ever a list in one task:
+
+* root: each bundle's best candidate without constraints, one aggregation with partial maxima. That is the bound of the
+  group, and where it satisfies the constraints, or there are none, it is the answer and nothing is branched;
+* branching: a group that is left has one branch for each value of the bundle that all constraints name. A branch's bound is
+  its value's trust and the others' best; the best whole row is the incumbent, and branches under it are cut off;
+* a branch fixes what the constraints ask of the other bundles, each of which then has its best supported value: one more
+  aggregation over the distinct combinations of values solves all branches, whatever their number and size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import groupby
-from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
+from quernel.functions import json_tape
 from quernel.session import checked_broadcast, materialise
 
 #: Texts that stand for "not known", in lower case.
 PLACEHOLDERS = ("null", "none", "n/a", "na", "n.a.", "?", "??", "???", "-", "--", "unknown", "not known", "undefined", "nil", "nan", "tbd", "unbekannt", "未知", "不详", "无")
-#: Parts into which the search of one group is cut.
-PARTS = 64
 #: What a filled bundle counts beside its trust: a choice that fills more bundles always wins.
 FILLED = 1e9
 
@@ -51,19 +52,20 @@ def known(text: Column) -> Column:
     return ~blank(text) & ~bare.isin(*PLACEHOLDERS)
 
 
-def opened_object(text: Column, depth: int = 3) -> Column:
-    """The text of the JSON object that the column holds, also as a string within JSON, `depth` times; else null."""
-    for _ in range(depth):
-        inner = F.when(text.rlike(r'(?s)^\s*"'), F.try_variant_get(F.try_parse_json(text), "$", "string"))
-        text = F.coalesce(F.when(inner.rlike(r'(?s)^\s*[{\["]'), inner), text)
-    return F.when(text.rlike(r"(?s)^\s*\{") & F.try_parse_json(text).isNotNull(), text)
+@F.arrow_udf(LongType())
+def filled_fields(text: pa.Array) -> pa.Array:
+    """How many top-level fields of the JSON object are not null, blank, [] or {}; 0 for what is no object. Text of an object
+    within a JSON string counts as the object, however often it was put into a string."""
+    return pa.array(json_tape.filled(text), pa.int64())
 
 
-def filled_fields(text: Column) -> Column:
-    """How many top-level fields of the JSON object are not null, blank, [] or {}; 0 for what is no object."""
-    fields = F.map_values(F.from_json(opened_object(text), "map<string,string>"))
-    empty = r"(?s)^\s*(\[\s*\]|\{\s*\})?\s*$"
-    return F.coalesce(F.size(F.filter(fields, lambda v: v.isNotNull() & ~blank(v) & ~v.rlike(empty))), F.lit(0))
+@F.arrow_udf(StringType())
+def opened(text: pa.Array) -> pa.Array:
+    """The text with its JSON strings opened, null where that is no JSON object."""
+    import pyarrow.compute as pc
+
+    out, is_object = json_tape.opened(text)
+    return pc.if_else(pa.array(is_object), out, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 def with_trust(nodes: DataFrame, writers: DataFrame) -> DataFrame:
@@ -72,123 +74,97 @@ def with_trust(nodes: DataFrame, writers: DataFrame) -> DataFrame:
     return nodes.drop("trust").join(listed, "writer", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
 
 
+def counted_metadata(nodes: DataFrame) -> DataFrame:
+    """Adds `filled`, of `metadata`; worked out once, before anything is shuffled."""
+    return nodes.drop("filled").withColumn("filled", filled_fields(F.col("metadata")))
+
+
 def node_bundles() -> list[Bundle]:
-    filled = filled_fields(F.col("metadata"))
+    """For rows with trust and filled."""
     return [
         Bundle("type", ("type",), known(F.col("type")), (F.col("trust"), F.col("written_at"))),
         Bundle("label", ("label",), ~blank(F.col("label")), (F.col("written_at"),)),
-        Bundle("metadata", ("metadata",), filled > 0, (filled, F.col("trust"), F.col("written_at"))),
+        Bundle("metadata", ("metadata",), F.col("filled") > 0, (F.col("filled"), F.col("trust"), F.col("written_at"))),
     ]
 
 
-def _offer(b: Bundle) -> Column:
-    return F.when(b.usable, F.struct(*(r.alias(f"r{i}") for i, r in enumerate(b.rank)), F.col("pos"), *(F.col(f).alias(f"f_{f}") for f in b.fields)))
+def _value(b: Bundle) -> Column:
+    """The bundle's value in 128 bits: no text is shuffled to compare it."""
+    return F.when(b.usable, F.unhex(F.md5(F.to_json(F.struct(*b.fields), {"ignoreNullFields": "false"}))))
 
 
-def relaxed(rows: DataFrame, bundles: list[Bundle], group: str = "id") -> DataFrame:
-    """Per group its `rows` and each bundle's best candidate (null: no row offers one), without constraints."""
-    offers = rows.where(F.col(group).isNotNull()).select(group, *(_offer(b).alias(b.name) for b in bundles))
-    return offers.groupBy(group).agg(F.count("*").alias("rows"), *(F.max(b.name).alias(b.name) for b in bundles))
+def _rank(b: Bundle) -> Column:
+    return F.struct(*(r.alias(f"r{i}") for i, r in enumerate(b.rank)), F.col("pos"))
 
 
 def best_bundles(rows: DataFrame, bundles: list[Bundle], constraints: tuple[tuple[str, str], ...] = (), group: str = "id") -> DataFrame:
-    """group, rows, and per bundle the pos of the row it is taken from; null where no row has a usable value, or where none
-    agrees with the others: a choice fills as many bundles as the constraints allow, and then has the greatest trust.
+    """group, rows, per bundle the pos of the row it is taken from, and branches: how many values were branched on (0: the
+    root was the answer). A pos is null where no row has a usable value, or where none agrees with the others: a choice
+    fills as many bundles as the constraints allow, and then has the greatest trust.
 
     `rows` has pos, trust and the fields. Groups of null aren't groups. Ties end at the largest pos, so the result is
     one. A null in an order ranks lowest. Without usable values in a constrained bundle, its constraints don't apply.
+    All constraints name one bundle, whichever; bundles that none names are chosen at the root.
     """
-    best = relaxed(rows, bundles, group)
-    root = best.select(group, "rows", *(F.col(b.name)["pos"].alias(b.name) for b in bundles))
+    named = rows.where(F.col(group).isNotNull())
     if not constraints:
-        return root
-    value = lambda b: F.when(b.usable, F.to_json(F.struct(*b.fields), {"ignoreNullFields": "false"}))
-    leader = constraints[0][0]
-    if any(leader not in c for c in constraints):
-        raise ValueError("every constraint must name the first constraint's first bundle: the search is cut by its values")
-    order = sorted((b for b in bundles if any(b.name in c for c in constraints)), key=lambda b: b.name != leader)
-    valued = rows.where(F.col(group).isNotNull()).select(group, "pos", "trust", *(value(b).alias(b.name) for b in order), *(F.struct(*b.rank, F.col("pos")).alias(f"rank_{b.name}") for b in order))
-    # distinct combinations of values, with the best row for each bundle: all that constraints and bounds need
-    combos = materialise(
-        valued.groupBy(group, *(b.name for b in order)).agg(F.max("trust").alias("trust"), *(F.max(F.struct(f"rank_{b.name}", "trust")).alias(f"top_{b.name}") for b in order)), "combos"
-    )
-    supported = lambda a, b: F.coalesce(F.max((F.col(a) == F.col(f"best_{a}")) & (F.col(b) == F.col(f"best_{b}"))), F.lit(False)) | F.max(F.col(f"best_{a}").isNull() | F.col(f"best_{b}").isNull())
-    field = lambda b: F.to_json(F.struct(*(F.col(b.name)[f"f_{f}"].alias(f) for f in b.fields)), {"ignoreNullFields": "false"})
-    roots = best.select(group, *(F.when(F.col(b.name).isNotNull(), field(b)).alias(f"best_{b.name}") for b in order))
-    kept = combos.join(roots, group).groupBy(group).agg(reduce(lambda x, y: x & y, (supported(a, b) for a, b in constraints)).alias("at_root"))
-    open_groups = materialise(kept.where("not at_root").select(group), "open")
-    first = order[0].name
-    searched = combos.join(open_groups, group, "left_semi")
-    # a value's trust and row are the group's best with it, whatever part it is searched in
-    searched = searched.withColumns({f"top_{b.name}": F.max(f"top_{b.name}").over(Window.partitionBy(group, b.name)) for b in order})
-    # a part has all combinations of some of the first bundle's values, so all that constraints with it ask for
-    hashed = F.pmod(F.xxhash64(first), F.lit(PARTS)).alias("part")
-    tops = {b.name: f"top_{b.name}" for b in order}
-    names = [b.name for b in order]
-    pairs = [(names.index(a), names.index(b)) for a, b in constraints]
-    flat = searched.select(
-        group, hashed, *(c for n in names for c in (F.col(n), F.when(F.col(n).isNotNull(), F.col(tops[n])["trust"] + FILLED).otherwise(0).cast("double").alias(f"t_{n}"), F.col(tops[n])[f"rank_{n}"]["pos"].alias(f"p_{n}")))
+        offers = named.select(group, *(F.when(b.usable, _rank(b)).alias(b.name) for b in bundles))
+        best = offers.groupBy(group).agg(F.count("*").alias("rows"), *(F.max(b.name).alias(b.name) for b in bundles))
+        return best.select(group, "rows", *(F.col(b.name)["pos"].alias(b.name) for b in bundles), F.lit(0).cast("bigint").alias("branches"))
+    shared = set(constraints[0]).intersection(*constraints)
+    if not shared:
+        raise ValueError("constraints must share one bundle: its values are what is branched on")
+    leader = next(n for n in constraints[0] if n in shared)
+    others = sorted({n for c in constraints for n in c} - {leader})
+    order = [leader, *others]
+    by_name = {b.name: b for b in bundles}
+    offers = named.select(group, "trust", *(c for b in bundles for c in (F.when(b.usable, _rank(b)).alias(f"rank_{b.name}"), *([_value(b).alias(b.name)] if b.name in order else []))))
+    # distinct combinations of values with the best row for each bundle: all that constraints and bounds need, and no texts
+    tops = [F.max(F.when(F.col(f"rank_{b.name}").isNotNull(), F.struct(f"rank_{b.name}", "trust"))).alias(f"top_{b.name}") for b in bundles]
+    combos = materialise(offers.groupBy(group, *order).agg(F.count("*").alias("rows"), *tops), "combos")
+    best = lambda n, *more: F.max(F.when(F.col(f"top_{n}").isNotNull(), F.struct(F.col(f"top_{n}")[f"rank_{n}"].alias("rank"), *more))).alias(f"best_{n}")
+    roots = combos.groupBy(group).agg(F.sum("rows").alias("rows"), *(best(b.name, *([F.col(b.name).alias("value")] if b.name in order else [])) for b in bundles))
+    roots = materialise(roots.select(group, "rows", *(c for b in bundles for c in (F.col(f"best_{b.name}")["rank"]["pos"].alias(f"p_{b.name}"), *([F.col(f"best_{b.name}")["value"].alias(f"v_{b.name}")] if b.name in order else [])))), "roots")
+    stands = lambda a, b: F.max((F.col(a) == F.col(f"v_{a}")) & (F.col(b) == F.col(f"v_{b}")))
+    asked = lambda a, b: F.max(F.col(f"v_{a}").isNotNull() & F.col(f"v_{b}").isNotNull())
+    fits = reduce(lambda x, y: x & y, (F.coalesce(stands(a, b), F.lit(False)) | ~asked(a, b) for a, b in constraints))
+    open_groups = combos.join(roots.select(group, *(f"v_{n}" for n in order)), group).groupBy(group).agg(fits.alias("fits")).where("not fits").select(group)
+    combos = materialise(combos.join(open_groups, group, "left_semi"), "open")
+
+    def worth(n: str) -> DataFrame:
+        """Of each value of the bundle: what it counts, and its row; the group's best with it, whatever stands beside it."""
+        of = combos.where(F.col(n).isNotNull()).groupBy(group, n).agg(F.max(f"top_{n}").alias("top"))
+        return of.select(group, n, (F.col("top")["trust"] + FILLED).cast("double").alias(f"t_{n}"), F.col("top")[f"rank_{n}"]["pos"].alias(f"p_{n}"))
+
+    worths = {n: materialise(worth(n), "worth") for n in order}
+    # bounds: the best of each bundle, whole rows as incumbents; of each branch the others' best as well
+    most = reduce(
+        lambda x, y: x.join(y, group, "full_outer"),
+        (worths[n].groupBy(group).agg(F.max(f"t_{n}").alias(f"most_{n}"), F.max(F.struct(f"t_{n}", f"p_{n}")).alias(f"free_{n}")) for n in order),
     )
-    bound = flat.groupBy(group).agg(F.max(sum((F.col(f"t_{n}") for n in names[1:]), F.col(f"t_{names[0]}"))).alias("incumbent"), *(F.max(f"t_{n}").alias(f"most_{n}") for n in names))
-    # bound of a branch: its first bundle's trust and the others' best; branches under the best whole row go unsearched
-    live = flat.join(bound, group).where(F.col(f"t_{first}") + sum((F.col(f"most_{n}") for n in names[1:]), F.lit(0.0)) >= F.col("incumbent"))
-    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, total double, " + ", ".join(f"p_{n} bigint" for n in names)
-
-    titles = [group, "total", *(f"p_{n}" for n in names)]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        found = []
-        for key, own in groupby(flow, itemgetter(0, 1)):  # a part at a time; parts come whole, one after the other
-            total, at = branch_and_bound([row[2:] for row in own], len(names), pairs)
-            found.append((key[0], total, *at))
-            if len(found) == 10_000:
-                yield _batch(found, titles)
-                found = []
-        if found:
-            yield _batch(found, titles)
-
-    whole = live.select(group, "part", *(c for n in names for c in (n, f"t_{n}", f"p_{n}"))).repartition(F.col(group), F.col("part")).sortWithinPartitions(group, "part")
-    parts = whole.mapInArrow(search, schema)
-    chosen = parts.groupBy(group).agg(F.max(F.struct("total", *(f"p_{n}" for n in names))).alias("c"))
-    out = root.join(chosen, group, "left")
-    return out.select(group, "rows", *(F.when(F.col("c").isNotNull(), F.col("c")[f"p_{b.name}"]).otherwise(F.col(b.name)).alias(b.name) if b in order else F.col(b.name) for b in bundles))
-
-
-def _batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True))
-    kinds = [None, pa.float64(), *[pa.int64()] * (len(names) - 2)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def branch_and_bound(rows: list[tuple], bundles: int, pairs: list[tuple[int, int]]) -> tuple[float, list]:
-    """Values of the bundles, or none, with the greatest sum such that each constrained pair stands in a row; among
-    equals, the greatest positions from the first bundle on. `rows` has value, worth and pos of each bundle in turn."""
-    options: list[list[tuple]] = []
-    for i in range(bundles):
-        held = {row[3 * i]: (row[3 * i + 1], row[3 * i + 2], row[3 * i]) for row in rows if row[3 * i] is not None}
-        options.append([*sorted(held.values(), key=lambda o: (-o[0], -o[1])), (0.0, None, None)])
-    support = [{(row[3 * a], row[3 * b]) for row in rows} for a, b in pairs]
-    rest = [0.0] * (bundles + 1)
-    for i in range(bundles - 1, -1, -1):
-        rest[i] = rest[i + 1] + options[i][0][0]
-    best: list = [-1.0, [None] * bundles]
-
-    def descend(i: int, total: float, taken: list) -> None:
-        if i == bundles:
-            key = [-1 if p is None else p for _, p, _ in taken]
-            if total > best[0] or total == best[0] and key > [-1 if p is None else p for p in best[1]]:
-                best[0], best[1] = total, [p for _, p, _ in taken]
-            return
-        for option in options[i]:
-            if total + option[0] + rest[i + 1] < best[0]:
-                break  # options fall in worth: no later one can reach the incumbent
-            row = [*taken, option]
-            if all(row[a][2] is None or row[b][2] is None or (row[a][2], row[b][2]) in support[k] for k, (a, b) in enumerate(pairs) if max(a, b) == i):
-                descend(i + 1, total + option[0], row)
-
-    descend(0, 0.0, [])
-    return best[0], best[1]
+    flat = combos.select(group, *order)
+    for n in order:
+        flat = flat.join(worths[n], [group, n], "left")
+    incumbent = flat.groupBy(group).agg(F.max(sum((F.coalesce(F.col(f"t_{n}"), F.lit(0.0)) for n in order), F.lit(0.0))).alias("incumbent"))
+    bounds = materialise(most.join(incumbent, group), "bounds")
+    others_most = sum((F.coalesce(F.col(f"most_{n}"), F.lit(0.0)) for n in others), F.lit(0.0))
+    live = materialise(worths[leader].join(bounds.select(group, "incumbent", others_most.alias("rest")), group).where(F.col(f"t_{leader}") + F.col("rest") >= F.col("incumbent")).select(group, leader, f"t_{leader}", f"p_{leader}"), "branches")
+    # each branch solved: of every other bundle the best value that stands beside the branch's, partial maxima
+    solved = live
+    for n in others:
+        beside = combos.where(F.col(leader).isNotNull() & F.col(n).isNotNull()).select(group, leader, n).distinct().join(worths[n], [group, n])
+        best_beside = beside.groupBy(group, leader).agg(F.max(F.struct(f"t_{n}", f"p_{n}")).alias(f"b_{n}"))
+        solved = solved.join(best_beside, [group, leader], "left")
+    total = F.col(f"t_{leader}") + sum((F.coalesce(F.col(f"b_{n}")[f"t_{n}"], F.lit(0.0)) for n in others), F.lit(0.0))
+    taken = lambda n, c: F.coalesce(c[f"p_{n}"], F.lit(-1)).alias(f"p_{n}")
+    leaves = solved.select(group, total.alias("total"), F.col(f"p_{leader}"), *(taken(n, F.col(f"b_{n}")) for n in others), F.lit(1).alias("branch"))
+    # the branch that leaves the shared bundle empty: no constraint is left
+    none = bounds.select(group, others_most.alias("total"), F.lit(-1).cast("bigint").alias(f"p_{leader}"), *(taken(n, F.col(f"free_{n}")) for n in others), F.lit(0).alias("branch"))
+    chosen = leaves.unionByName(none).groupBy(group).agg(F.sum("branch").alias("branches"), F.max(F.struct("total", *(f"p_{n}" for n in order))).alias("c"))
+    out = roots.join(chosen, group, "left")
+    pos = lambda n: F.nullif(F.col("c")[f"p_{n}"], F.lit(-1))
+    of = lambda n: F.when(F.col("c").isNotNull(), pos(n)).otherwise(F.col(f"p_{n}")) if n in order else F.col(f"p_{n}")
+    return out.select(group, "rows", *(of(n).alias(n) for n in by_name), F.coalesce("branches", F.lit(0)).alias("branches"))
 
 
 def winners(best: DataFrame, fields: list[str], group: str = "id") -> DataFrame:
@@ -201,3 +177,22 @@ def consistent_bundles() -> list[Bundle]:
     """Type and label, both by trust, for survivors whose type must have been seen with their label."""
     by_trust = (F.col("trust"), F.col("written_at"))
     return [Bundle("type", ("type",), known(F.col("type")), by_trust), Bundle("label", ("label",), ~blank(F.col("label")), by_trust)]
+
+
+def with_parts(nodes: DataFrame) -> DataFrame:
+    """Adds the parts of the metadata that belong together: city and note (the place), model and passes (the extraction)."""
+    v = F.try_parse_json(opened(F.col("metadata")))
+    part = {"city": "$.user_city", "note": "$.note", "model": "$.extraction.model"}
+    with_v = nodes.drop(*part, "passes").withColumn("__v", v)
+    texts = {c: F.try_variant_get("__v", p, "string") for c, p in part.items()}
+    return with_v.withColumns(texts | {"passes": F.to_json(F.try_variant_get("__v", "$.extraction.passes", "variant"))}).drop("__v")
+
+
+def dependent_bundles() -> tuple[list[Bundle], tuple[tuple[str, str], ...]]:
+    """Bundles of several dependent fields, each taken whole from one row: who it is (type and label), where it was noted
+    (city and note) and how it was extracted (model and passes). Place and extraction must have stood beside the name."""
+    by_trust = (F.col("trust"), F.col("written_at"))
+    place = ~blank(F.col("city")) | ~blank(F.col("note"))
+    extraction = ~blank(F.col("model")) & F.col("passes").isNotNull()
+    bundles = [Bundle("name", ("type", "label"), known(F.col("type")) & ~blank(F.col("label")), by_trust), Bundle("place", ("city", "note"), place, by_trust), Bundle("extraction", ("model", "passes"), extraction, by_trust)]
+    return bundles, (("name", "place"), ("name", "extraction"))
