@@ -1,7 +1,9 @@
 """The copy ledger against grouping in Python."""
 
 import json
+import random
 
+from quernel.llm import copies as copies_
 from quernel.llm.copies import CopyLedger, canonical_json, collapse, copies, keyed_nodes, representatives
 from tests.conftest import rows
 
@@ -43,12 +45,46 @@ def test_batches_and_hot_group(spark):
         assert pairs_of(spark, nodes, batches=batches, buckets=4) == sorted(want, key=repr)
 
 
-def test_ledger_keeps_untouched_buckets(spark):
-    ledger = CopyLedger(spark, 8)
-    ledger.add(spark.createDataFrame([(b"a", 3), (b"a", 2), (b"b", 4)], "key binary, pos bigint"))
-    ledger.add(spark.createDataFrame([(b"a", 1)], "key binary, pos bigint"))
-    ledger.add(spark.createDataFrame([], "key binary, pos bigint"))
-    assert sorted((bytes(r.key), r.copies, r.first) for r in ledger.read().collect()) == [(b"a", 3, 1), (b"b", 1, 4)] and ledger.version == 2
+BATCH = "key binary, pos bigint"
+
+
+def held(ledger):
+    return sorted((bytes(r.key), r.copies, r.first) for r in ledger.read().collect())
+
+
+def test_ledger_goes_on_from_call_to_call(spark, tmp_path):
+    rnd = random.Random(4)
+    many = [(f"k{rnd.randrange(400)}".encode(), k) for k in range(3000)]
+    path = f"file://{tmp_path}/ledger"
+    for k in range(3):
+        CopyLedger(spark, path, 6).add(spark.createDataFrame(many[k * 1000 : (k + 1) * 1000], BATCH), f"batch {k}")
+    CopyLedger(spark, path).add(spark.createDataFrame(many[:1000], BATCH), "batch 0")  # again, after a break
+    again = CopyLedger(spark, path)
+    assert (again.buckets, again.version, again.batches) == (6, 3, ["batch 0", "batch 1", "batch 2"])
+    whole = CopyLedger(spark, None, 5)
+    whole.add(spark.createDataFrame(many, BATCH))
+    assert held(again) == held(whole) and sum(c for _, c, _ in held(again)) == 3000
+
+
+def test_only_touched_buckets_are_written_anew(spark, tmp_path):
+    ledger = CopyLedger(spark, f"file://{tmp_path}/l", 8)
+    ledger.add(spark.createDataFrame([(f"k{k}".encode(), k + 10) for k in range(100)], BATCH))
+    before = dict(ledger.at)
+    ledger.add(spark.createDataFrame([(b"k3", 1)], BATCH))
+    ledger.add(spark.createDataFrame([], BATCH))
+    changed = [b for b in ledger.at if ledger.at[b] != before[b]]
+    assert len(before) == 8 and len(changed) == 1 and ledger.version == 2
+    assert (b"k3", 2, 1) in held(ledger) and len(held(ledger)) == 100
+    # the replaced version of the bucket is gone, the others are where they were
+    assert sorted(p.name for p in (tmp_path / "l/v=1").glob("bucket=*")) == sorted(f"bucket={b}" for b in before if b not in changed)
+
+
+def test_files_grow_with_the_ledger(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(copies_, "FILE_KEYS", 50)
+    ledger = CopyLedger(spark, f"file://{tmp_path}/l", 2)
+    ledger.add(spark.createDataFrame([(f"k{k}".encode(), k) for k in range(1000)], BATCH))
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "l/v=1").glob("bucket=*")]
+    assert files == [10, 10] and len(held(ledger)) == 1000
 
 
 def test_empty_and_long(spark):
