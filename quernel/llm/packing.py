@@ -3,13 +3,15 @@
 Sizes are whole tokens, so an instance is a histogram of at most `capacity` rows, whatever the number of texts; it is
 solved on the driver and the plan applied to the texts by their rank among those of equal size. Martello-Toth reduction
 first fixes sets that dominate every other set with the same item: an item that nothing fits beside goes alone; the
-largest item that fits beside it goes with it if the two fill the container, or if no two others fit beside it. What
-remains is packed by best fit, largest first, equal containers moving as one group.
+largest item that fits beside it goes with it if the two fill the container, if no two others fit beside it, or if no two
+that fit are more than it; where no three others fit, it and the largest that still fits make a set of three if each pair
+that fits could stand in their place. What remains is packed by best fit, largest first, equal containers moving as one group.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quernel.session import materialise
 
-#: Parts into which the texts of one size are spread to be numbered.
-SALTS = 64
+#: Parts into which the texts of one size are spread to be numbered: at least so many, and more as there are more pieces.
+SALTS, PIECES_A_SALT = 64, 250_000
 MOST_CONTAINERS = 1000
 
 
@@ -74,16 +76,60 @@ def reduce_instance(capacity: int, left: dict[int, int]) -> list[tuple[int, tupl
             if mate == size and n < 2:
                 i = bisect_left(sizes, size) - 1
                 mate = sizes[i] if i >= 0 else None
-            if mate is None or not (size + mate == capacity or len(smallest) < 2 or size + smallest[0] + smallest[1] > capacity):
+            if mate is None:
                 break
-            m = n // 2 if mate == size else min(n, left[mate])
-            fixed.append((m, ((size, 2),) if mate == size else ((size, 1), (mate, 1))))
-            take(size, 2 * m if mate == size else m)
-            if mate != size:
-                take(mate, m)
+            if size + mate == capacity or len(smallest) < 2 or size + smallest[0] + smallest[1] > capacity or mate >= _most_of_two(size, capacity, sizes, left):
+                m = n // 2 if mate == size else min(n, left[mate])
+                fixed.append((m, ((size, 2),) if mate == size else ((size, 1), (mate, 1))))
+                take(size, 2 * m if mate == size else m)
+                if mate != size:
+                    take(mate, m)
+                continue
+            third = _third(size, mate, capacity, sizes, left)
+            if third is None:
+                break
+            each = Counter((size, mate, third))
+            m = min(left[s] // k for s, k in each.items())
+            fixed.append((m, tuple(each.items())))
+            for s, k in each.items():
+                take(s, m * k)
     return fixed
 
 
+def _pairs(size: int, capacity: int, sizes: list[int], left: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Of every size s, the largest r >= s that fits with it beside the item; empty unless no three others fit, so few sizes do."""
+    gap = capacity - size
+    held = [s for s in sizes[: bisect_left(sizes, gap)] for _ in range(min(3, left[s] - (s == size)))]
+    if len(held) < 2 or sum(held[:3]) <= gap and len(held) > 2:
+        return
+    for i, s in enumerate(held):
+        j = bisect_left(held, gap - s + 1) - 1
+        if j > i:
+            yield held[j], s
+
+
+def _most_of_two(size: int, capacity: int, sizes: list[int], left: dict[int, int]) -> float:
+    """The most that two others have that fit beside the item; infinite where three fit."""
+    gap = capacity - size
+    few = [s for s in sizes[:4] for _ in range(min(3, left[s] - (s == size)))][:3]
+    if len(few) > 2 and sum(few) <= gap:
+        return float("inf")
+    return max((r + s for r, s in _pairs(size, capacity, sizes, left)), default=0)
+
+
+def _third(size: int, mate: int, capacity: int, sizes: list[int], left: dict[int, int]) -> int | None:
+    """The size that makes a dominating set of three with the item and the largest that fits beside it, if there is one."""
+    if _most_of_two(size, capacity, sizes, left) == float("inf"):
+        return None
+    gap = capacity - size - mate
+    fits = [s for s in sizes[: bisect_left(sizes, gap + 1)] if left[s] - (s == size) - (s == mate) > 0]
+    if not fits or left[mate] - (mate == size) < 1:
+        return None
+    third = fits[-1]
+    # each pair that fits lies item by item within (mate, third), or both within mate
+    return third if all(s <= third or r + s <= mate for r, s in _pairs(size, capacity, sizes, left)) else None
+
+
 def best_fit(capacity: int, left: dict[int, int]) -> list[tuple[int, tuple]]:
     """Best fit, largest first, over counts: groups of containers with equal content stand as one."""
     open_at: dict[int, list[tuple[int, tuple]]] = {}
@@ -161,8 +207,9 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> tuple[
     kinds = {r.container: int(r.capacity_tokens) for r in held}
     if not kinds:
         return sizes.sparkSession.createDataFrame([], f"{key} bigint, container string, capacity int, piece bigint, start bigint, tokens bigint, bin bigint"), {}
-    salted = pieces(sizes, key, kinds).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int"))
-    salted = materialise(salted, "pieces")
+    cut = materialise(pieces(sizes, key, kinds), "pieces")
+    salts = max(SALTS, -(-cut.count() // PIECES_A_SALT))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     counted = materialise(salted.where("tokens > 0").groupBy("container", "tokens", "salt").agg(F.count("*").alias("n")), "counted")
     histograms: dict[str, dict[int, int]] = {k: {} for k in kinds}
     for r in counted.groupBy("container", "tokens").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
@@ -200,8 +247,11 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> tuple[
     return packed.unionByName(empty), plans
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """Per kind: containers used, tokens, the share of room used, and the least number of containers that could do."""
-    return packed.groupBy("container", "capacity").agg(
+def fill_report(packed: DataFrame, plans: dict[str, Plan] | None = None) -> DataFrame:
+    """Per kind: containers used, tokens, the share of room used, the least number of containers that could do, and how many
+    of them the reduction fixed (null where the plans aren't given)."""
+    report = packed.groupBy("container", "capacity").agg(
         (F.coalesce(F.max("bin"), F.lit(-1)) + 1).alias("bins"), F.sum("tokens").alias("tokens"), F.count("bin").alias("pieces"),
     ).withColumns({"fill": F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6), "least_bins": F.ceil(F.col("tokens") / F.col("capacity"))})
+    fixed = F.coalesce(*(F.when(F.col("container") == k, F.lit(p.fixed)) for k, p in (plans or {}).items()), F.lit(None)).cast("bigint")
+    return report.withColumn("fixed_bins", fixed)

@@ -62,17 +62,17 @@ def p5_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("rows >= 2").select("id", *(F.col(b).alias(f"{b}_pos") for b in ("name", "place", "extraction")))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, packing.Plan]]:
     sizes = tokens.token_sizes(read(spark, sf_dir, "documents"), ["doc_id"], "text")
-    return packing.pack(sizes, read(spark, sf_dir, "pack_sizes"))[0]
+    return packing.pack(sizes, read(spark, sf_dir, "pack_sizes"))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir)
+    return _packed(spark, sf_dir)[0]
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, sf_dir))
+    return packing.fill_report(*_packed(spark, sf_dir))
 
 
 def _mixture(spark: SparkSession, sf_dir: str):

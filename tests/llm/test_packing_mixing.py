@@ -35,14 +35,17 @@ def least_bins(capacity, items):
 
 def test_reduction_is_no_loss():
     rnd = random.Random(1)
-    for _ in range(150):
-        capacity = rnd.randint(5, 30)
-        items = [rnd.randint(1, capacity) for _ in range(rnd.randint(0, 8))]
+    triples = 0
+    for _ in range(1500):
+        capacity = rnd.randint(5, 40)
+        items = [rnd.randint(rnd.choice([1, 1 + capacity // 6]), capacity) for _ in range(rnd.randint(0, 9))]
         left = {s: items.count(s) for s in items}
         fixed = reduce_instance(capacity, left)
         rest = [s for s, n in left.items() for _ in range(n)]
         assert all(sum(s * k for s, k in p) <= capacity for _, p in fixed)
+        triples += sum(sum(k for _, k in p) == 3 for _, p in fixed)
         assert sum(n for n, _ in fixed) + least_bins(capacity, rest) == least_bins(capacity, items)
+    assert triples > 50
 
 
 def test_solve_stays_within_capacity():
