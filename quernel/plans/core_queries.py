@@ -21,8 +21,8 @@ def p2_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(read(spark, sf_dir, "kg_decisions"), read(spark, sf_dir, "kg_sessions"))
 
 
-def p2_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.source_orders(read(spark, sf_dir, "kg_decisions"), read(spark, sf_dir, "kg_sessions"))
+def p2_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.source_parses(read(spark, sf_dir, "kg_decisions"), read(spark, sf_dir, "kg_sessions"))
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> orphans.Orphans:
@@ -446,7 +446,7 @@ def source_resolution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_moments, p2_orders, p3_found, p3_report, p6_found, p6_fields, p6_tables,
+        p2_found, p2_moments, p2_parses, p3_found, p3_report, p6_found, p6_fields, p6_tables,
         graph_scan, live_nodes, tagged_nodes, untagged_nodes, semantic_nodes, relation_edges, clean_edges, dropped_edges, node_tags, edge_tags, node_labels, write_tools, status_counts,
         claim_by_edge, claim_by_entity, claim_satellites, scope_conversation, scope_conversation_edges, claim_conversation, untagged_decisions, scope_all, claim_all, scope_own, claim_own,
         graph_summary, nodes_by_type, bar_percent, adjacency, degree, out_degree, isolated_nodes, hubs_by_degree, pagerank, hubs_by_rank, connected_components, component_sizes,

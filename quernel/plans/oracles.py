@@ -1,6 +1,9 @@
 """SQL over the same tables that gives the core queries' rows another way."""
 
-from quernel.operators.timestamps import ABBREVIATIONS, MONTH_FIRST, MONTHS
+#: Fixed values of the SQL's own: what the tables' abbreviations and month names mean, and where months come first.
+ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+MONTH_FIRST = "('en-US', 'en-PH')"
 
 _OPEN = """CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid({v} ->> '$') AND json_type({v} ->> '$') IN ('OBJECT', 'ARRAY') THEN ({v} ->> '$')::JSON ELSE {v} END"""
 _OBJECTS = f"""
