@@ -2,9 +2,11 @@
 
 A document is reduced to its prose: fenced code, log lines, JSON, table rows, lists of paths, headings, speaker labels and
 identifiers between the words go. Features are distributions over the rest: of vocabulary (how strongly the words, or
-pairs of Chinese characters, belong to each level in the sample), of word length, of sentence length and of repetition.
-Boosted regression trees learn the level from parts of the passages, in several layouts; the vocabulary of a training part
-never comes from its own passage. Out-of-fold predictions calibrate the grades and give the errors.
+pairs of Chinese characters, belong to each level in the sample), of word length, of the lengths of single sentences, of
+syntax (clause marks a sentence, words that subordinate) and of cohesion (words that connect, and what neighbouring sentences
+share). Boosted regression trees learn the level from parts of the passages, in several layouts; the vocabulary of a training
+part never comes from its own passage. Out-of-fold predictions calibrate the grades; `validate` judges all of it on passages
+that neither trees, vocabulary nor calibration have seen.
 
 The sample is bounded (`MOST_PASSAGES`), so the model is fitted on the driver; counting and scoring run over all texts.
 """
@@ -12,6 +14,7 @@ The sample is bounded (`MOST_PASSAGES`), so the model is fitted on the driver; c
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -31,7 +34,9 @@ MOST_PASSAGES = 20_000
 LANGUAGES = ("en", "de", "zh")
 LEVELS = 5
 LONGEST = 24
-FOLDS, COPIES = 8, 12
+FOLDS, COPIES = 8, 16
+#: Of the copies of a passage, those that have part of another passage as well.
+MIXED = 5
 
 _LABEL = r"(?:[^\W\d_][\w ]{0,24}[:：]\s*)?(?:[-*+•][^\S\n]+)*"
 _NOT_PROSE = re.compile(
@@ -51,6 +56,40 @@ _STOPS_ZH = re.compile(r"(?:(?<=[㐀-鿿])[.!?]|[。！？])+(?=\s|$|[㐀-鿿])"
 _STOPS = re.compile(r"[.!?。！？]+(?=\s|$|[㐀-鿿])")
 
 
+#: Words that subordinate a clause, and words that connect sentences, in English, German and Chinese.
+_SUBORDINATE = "because although though while whereas unless since if that which who whom whose when where whether until weil obwohl während dass ob wenn falls nachdem bevor damit sodass welche welcher welches deren dessen 因为 由于 虽然 尽管 如果 只要 除非 即使 以便 使得".split()
+_CONNECT = "however therefore moreover furthermore nevertheless thus hence consequently meanwhile instead also then jedoch daher deshalb außerdem dennoch somit folglich zudem allerdings hingegen dann auch 因此 所以 然而 但是 而且 此外 从而 同时 于是 不过 然后".split()
+_CLAUSE, _CLAUSE_ZH = (", ", "; ", ": "), ("，", "；", "：", "、")
+STYLE = 8
+
+
+def style(text: str, chinese: bool, words: Counter) -> tuple[float, ...]:
+    """Of the prose's sentences in one script: mean and spread of their log lengths, the share of long ones, clause marks a
+    sentence, shares of subordinating and of connecting words, the mean share of words or characters that neighbours have in
+    common, and its spread. `words` are its words or pairs of characters, with counts."""
+    lengths, overlaps, before = [], [], None
+    for sentence in _STOPS.split(text if chinese else text.lower()):
+        held = "".join(_CJK.findall(sentence)) if chinese else sentence.split()
+        if not held:
+            continue
+        lengths.append(len(held) / 2 if chinese else len(held))
+        own = set(held)
+        if before is not None:
+            shared = len(own & before)
+            overlaps.append(shared / (len(own) + len(before) - shared))
+        before = own
+    if not lengths:
+        return (0.0,) * STYLE
+    n, size = len(lengths), max(words.total(), 1)
+    logs = [math.log1p(x) for x in lengths]
+    mean, shared = sum(logs) / n, sum(overlaps) / max(len(overlaps), 1)
+    spread = math.sqrt(max(sum(x * x for x in logs) / n - mean * mean, 0.0)) if n > 1 else 0.0
+    uneven = math.sqrt(max(sum(x * x for x in overlaps) / len(overlaps) - shared * shared, 0.0)) if overlaps else 0.0
+    marks = sum(map(text.count, _CLAUSE_ZH if chinese else _CLAUSE))
+    count = words.get
+    return mean, spread, sum(x > 15 for x in lengths) / n, marks / n, sum(count(w, 0) for w in _SUBORDINATE) / size, sum(count(w, 0) for w in _CONNECT) / size, shared, uneven
+
+
 def prose(text: str) -> str:
     return _SPEAKER.sub(" ", _NOT_PROSE.sub("\n", text))
 
@@ -63,22 +102,34 @@ def word_of(token: str) -> str | None:
     return w.lower()
 
 
+#: Tokens seen by this worker and the words that they are, emptied when full: texts share most of their tokens.
+_SEEN: dict[str, str | None] = {}
+_MOST_SEEN = 200_000
+
+
 def words_of(text: str) -> Counter:
     """Words that aren't Chinese, with counts."""
     words: Counter = Counter()
+    if len(_SEEN) > _MOST_SEEN:
+        _SEEN.clear()
     for token, n in Counter(text.split()).items():
-        if (w := word_of(token)) is not None and not _CJK.search(w):
+        try:
+            w = _SEEN[token]
+        except KeyError:
+            w = word_of(token)
+            _SEEN[token] = w = None if w is None or _CJK.search(w) else w
+        if w is not None:
             words[w] += n
     return words
 
 
-def counted(text: str) -> tuple[bool, Counter, int]:
+def counted(text: str) -> tuple[bool, Counter, int, tuple[float, ...]]:
     """Of the script that most of the prose is in: whether it is Chinese; its words or character pairs with counts; the
-    number of sentences' ends."""
+    number of sentences' ends; its style."""
     return by_script(text)[0]
 
 
-def by_script(text: str) -> list[tuple[bool, Counter, int]]:
+def by_script(text: str) -> list[tuple[bool, Counter, int, tuple[float, ...]]]:
     """As `counted`, then the same of the prose in the other script, if any. A lone word or character of the other script
     is a loan or the value of a field, unless it ends as a sentence does."""
     text = prose(text)
@@ -86,7 +137,7 @@ def by_script(text: str) -> list[tuple[bool, Counter, int]]:
     words = words_of(text)
     stops = len(_STOPS.findall(text))
     if not runs:
-        return [(False, words, stops)]
+        return [(False, words, stops, style(text, False, words))]
     joined = "|".join(runs)
     pairs = Counter(map(str.__add__, joined, joined[1:]))
     for p in [p for p in pairs if "|" in p]:
@@ -100,8 +151,10 @@ def by_script(text: str) -> list[tuple[bool, Counter, int]]:
             if own.total() > 1 or own and re.search(r"\w[.!?](?=\s|$)", segment):
                 other += own
         pairs = pairs or Counter(runs)  # without any pair, characters that stand alone
-        return [(True, pairs, zh_stops), (False, other, stops - zh_stops)] if other else [(True, pairs, stops)]
-    return [(False, words, stops - zh_stops), (True, pairs, zh_stops)] if pairs else [(False, words, stops)]
+        chinese = style(text, True, pairs)
+        return [(True, pairs, zh_stops, chinese), (False, other, stops - zh_stops, style(text, False, other))] if other else [(True, pairs, stops, chinese)]
+    latin = style(text, False, words)
+    return [(False, words, stops - zh_stops, latin), (True, pairs, zh_stops, style(text, True, pairs))] if pairs else [(False, words, stops, latin)]
 
 
 @dataclass
@@ -129,14 +182,14 @@ def lexicon(counts: list[Counter], levels: list[int]) -> Lexicon:
     return Lexicon(index, np.vstack([smooth(share, n.sum(1, keepdims=True), 1.0), smooth(lengths, by_length.sum(1, keepdims=True), 5.0)]))
 
 
-def features(texts: list[tuple[bool, Counter, int]], books: dict[str, Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[tuple[bool, Counter, int, tuple[float, ...]]], books: dict[str, Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row for each text; its language as an index; its words. All sums run over flat arrays of (text, word, count)."""
     owner, size, chinese = [], np.zeros(len(texts)), np.array([t[0] for t in texts], bool)
     ids: dict[str, list[int]] = {k: [] for k in LANGUAGES}
     number, length = [], []
     en, de, zh = (books[k].index for k in LANGUAGES)
     v_en, v_de, v_zh = len(en), len(de), len(zh)
-    for i, (is_zh, words, _) in enumerate(texts):
+    for i, (is_zh, words, *_) in enumerate(texts):
         owner.append(len(words))
         number.extend(words.values())
         if is_zh:
@@ -170,7 +223,7 @@ def features(texts: list[tuple[bool, Counter, int]], books: dict[str, Lexicon])
     variety = np.array(owner) / np.sqrt(total)
     repeated = 1 - np.bincount(at, (n > 1) * 1.0, len(texts)) / np.maximum(owner, 1)
     grade = mass @ np.arange(1, LEVELS + 1)
-    columns = [mass, grade[:, None], mass[:, 3:].sum(1)[:, None], mean[:, None], spread[:, None], *(x[:, None] for x in long), sentence[:, None], np.log1p(size)[:, None], variety[:, None], repeated[:, None], np.eye(3)[language]]
+    columns = [mass, grade[:, None], mass[:, 3:].sum(1)[:, None], mean[:, None], spread[:, None], *(x[:, None] for x in long), sentence[:, None], np.log1p(size)[:, None], variety[:, None], repeated[:, None], np.array([t[3] for t in texts]).reshape(-1, STYLE), np.eye(3)[language]]
     return np.hstack(columns), language, size * np.where(chinese, 0.5, 1.0)
 
 
@@ -262,54 +315,120 @@ def parts_of(text: str, rnd: random.Random) -> str:
     return " ".join(chosen)
 
 
-def fit(passages: list[tuple[str, int, str]], seed: int = 7) -> Model:
-    """`passages`: language, level, text."""
-    rnd = random.Random(seed)
-    passages = [(lang, level, text) for lang, level, text in passages if lang in LANGUAGES and text and level]
-    whole = [counted(t) for _, _, t in passages]
-    # folds hold out whole passages, evenly over languages and levels
-    order = sorted(range(len(passages)), key=lambda i: (passages[i][:2], passages[i][2]))
-    fold = np.zeros(len(passages), int)
-    for k, i in enumerate(order):
-        fold[i] = k % FOLDS
-
-    def books(kept_: list[int]) -> dict[str, Lexicon]:
-        return {k: lexicon([whole[i][1] for i in kept_ if passages[i][0] == k], [passages[i][1] for i in kept_ if passages[i][0] == k]) for k in LANGUAGES}
-
-    rows, target, group, language = [], [], [], []
-    for f in range(FOLDS):
-        held = [i for i in range(len(passages)) if fold[i] == f]
-        if not held:
-            continue
-        own = books([i for i in range(len(passages)) if fold[i] != f])
-        texts, who = [], []
-        for i in held:
+def _books(passages: list[tuple[str, int, str]], whole: list[tuple], chosen: list[int]) -> dict[str, Lexicon]:
+    return {k: lexicon([whole[i][1] for i in chosen if passages[i][0] == k], [passages[i][1] for i in chosen if passages[i][0] == k]) for k in LANGUAGES}
+
+
+@dataclass
+class Sample:
+    """Passages in folds, whole passages at a time and evenly over languages and levels, and the texts of each in its layouts."""
+
+    passages: list[tuple[str, int, str]]
+    fold: np.ndarray
+    whole: list[tuple]
+    texts: list[tuple]  # COPIES of each passage
+    levels: np.ndarray  # of the texts
+
+    @staticmethod
+    def of(passages: list[tuple[str, int, str]], seed: int) -> Sample:
+        rnd = random.Random(seed)
+        passages = [(lang, level, text) for lang, level, text in passages if lang in LANGUAGES and text and level]
+        order = sorted(range(len(passages)), key=lambda i: (passages[i][:2], passages[i][2]))
+        fold = np.zeros(len(passages), int)
+        for k, i in enumerate(order):
+            fold[i] = k % FOLDS
+        whole = [counted(t) for _, _, t in passages]
+        texts, levels = [], []
+        for i, (lang, level, text) in enumerate(passages):
+            mates = [j for j in range(len(passages)) if passages[j][0] == lang and fold[j] == fold[i] and passages[j][1] != level]
             for copy in range(COPIES):
-                texts.append(passages[i][2] if copy == 0 else parts_of(passages[i][2], rnd))
-                who.append(i)
-        x, lang, words = features([counted(t) for t in texts], own)
+                own = text if copy == 0 else parts_of(text, rnd)
+                held = counted(own)
+                if copy >= COPIES - MIXED and mates:  # a text of two levels has their mean, by words
+                    j = rnd.choice(mates)
+                    other = parts_of(passages[j][2], rnd)
+                    sizes = held[1].total(), counted(other)[1].total()
+                    texts.append(counted(f"{own} {other}"))
+                    levels.append((level * sizes[0] + passages[j][1] * sizes[1]) / max(sum(sizes), 1))
+                else:
+                    texts.append(held)
+                    levels.append(float(level))
+        return Sample(passages, fold, whole, texts, np.array(levels))
+
+    def rows(self, fold: int, without: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, level and language of the texts of a fold, by the vocabulary of the passages of none of the folds `without`."""
+        held = [i for i in range(len(self.passages)) if self.fold[i] == fold]
+        own = _books(self.passages, self.whole, [i for i in range(len(self.passages)) if self.fold[i] not in without])
+        at = [i * COPIES + copy for i in held for copy in range(COPIES)]
+        x, _, words = features([self.texts[k] for k in at], own)
         good = words > 0
-        rows.append(x[good])
-        target += [passages[i][1] for i, g in zip(who, good, strict=True) if g]
-        group += [f] * int(good.sum())
-        language += [passages[i][0] for i, g in zip(who, good, strict=True) if g]
-    x, y, group, language = np.vstack(rows), np.array(target, float), np.array(group), np.array(language)
-    outside = np.zeros(len(y))
-    for f in np.unique(group):
-        outside[group == f] = Trees().fit(x[group != f], y[group != f]).predict(x[group == f]) if (group != f).any() else y.mean()
-    b, a = np.polyfit(outside, y, 1) if outside.std() > 0 else (1.0, 0.0)
-    graded = a + b * outside
-    errors = {k: (int((m := language == k).sum()), float(np.abs(graded - y)[m].mean()), float(((graded >= 3.5) == (y >= 3.5))[m].mean())) for k in LANGUAGES if (language == k).any()}
-    return Model(books(list(range(len(passages)))), Trees().fit(x, y), (float(a), float(b)), errors)
+        return x[good], self.levels[at][good], np.repeat([self.passages[i][0] for i in held], COPIES)[good]
 
+    def outside(self, folds: list[int], without: set[int], used: np.ndarray | None = None):
+        """Features, levels, languages of the folds, each by vocabulary of the others, and what trees of the other folds predict."""
+        each = [self.rows(f, without | {f}) for f in folds]
+        x, y, language = (np.concatenate(c) for c in zip(*each, strict=True))
+        x = x if used is None else x[:, used]
+        group = np.repeat(folds, [len(e[1]) for e in each])
+        said = np.zeros(len(y))
+        for f in folds:
+            rest = group != f
+            said[~rest] = Trees().fit(x[rest], y[rest]).predict(x[~rest]) if rest.any() else y.mean()
+        return x, y, language, said
 
-def fit_passages(passages: DataFrame) -> Model | None:
-    """A model of a table with lang, level and text; rows without them, or in other languages, are left out; without any
-    there is no model; more than MOST_PASSAGES are an error."""
+
+def calibration(said: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    b, a = np.polyfit(said, y, 1) if len(y) > 1 and said.std() > 0 else (1.0, 0.0)
+    return float(a), float(b)
+
+
+def _errors(graded: np.ndarray, y: np.ndarray, language: np.ndarray) -> dict[str, tuple[int, float, float]]:
+    return {k: (int((m := language == k).sum()), float(np.abs(graded - y)[m].mean()), float(((graded >= 3.5) == (y >= 3.5))[m].mean())) for k in LANGUAGES if (language == k).any()}
+
+
+def fit(passages: list[tuple[str, int, str]], seed: int = 7) -> Model:
+    """`passages`: language, level, text. The errors are those of out-of-fold predictions, which also calibrate; see `validate`."""
+    sample = Sample.of(passages, seed)
+    x, y, language, said = sample.outside(sorted(set(sample.fold)), set())
+    a, b = calibration(said, y)
+    books = _books(sample.passages, sample.whole, list(range(len(sample.passages))))
+    return Model(books, Trees().fit(x, y), (a, b), _errors(a + b * said, y, language))
+
+
+def validate(passages: list[tuple[str, int, str]], vocabulary: bool = True, seed: int = 7) -> dict[str, tuple[int, float, float]]:
+    """By language: parts, mean absolute error, share on the right side of 3.5, of passages that nothing has seen: for each fold,
+    trees, vocabulary and calibration come from the other folds alone, whose own predictions leave out both folds. Without
+    `vocabulary` the trees have no columns of what words say of levels."""
+    sample = Sample.of(passages, seed)
+    folds = sorted(set(sample.fold))
+    used = None if vocabulary else slice(LEVELS + 2, None)
+    graded, truth, language = [], [], []
+    for f in folds:
+        rest = [g for g in folds if g != f]
+        if not rest:
+            continue
+        x, y, _, said = sample.outside(rest, {f}, used)
+        a, b = calibration(said, y)
+        own, level, lang = sample.rows(f, {f})
+        trees = Trees().fit(x, y)
+        graded.append(np.clip(a + b * trees.predict(own if used is None else own[:, used]), 1, LEVELS))
+        truth.append(level)
+        language.append(lang)
+    return _errors(*(np.concatenate(c) for c in (graded, truth, language))) if graded else {}
+
+
+def read_passages(passages: DataFrame) -> list[tuple[str, int, str]]:
+    """Language, level and text of the passages that have them; more than MOST_PASSAGES are an error."""
     held = passages.where("lang is not null and level between 1 and 5 and text is not null").select("lang", "level", "text").limit(MOST_PASSAGES + 1).collect()
     if len(held) > MOST_PASSAGES:
         raise ValueError(f"more than {MOST_PASSAGES} passages")
-    held = sorted((r.lang, int(r.level), r.text) for r in held if r.lang in LANGUAGES and r.text.strip())
+    return sorted((r.lang, int(r.level), r.text) for r in held if r.lang in LANGUAGES and r.text.strip())
+
+
+def fit_passages(passages: DataFrame) -> Model | None:
+    """A model of a table with lang, level and text; rows without them, or in other languages, are left out; without any
+    there is no model; more than MOST_PASSAGES are an error."""
+    held = read_passages(passages)
     return fit(held) if held else None
 
 

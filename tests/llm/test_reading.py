@@ -5,8 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from quernel.llm.reading import LEVELS, Trees, counted, features, fit, fit_passages, grades, lexicon, profile, prose, word_of
-from tests.conftest import rows
+from quernel.llm.reading import LEVELS, STYLE, Trees, counted, features, fit, fit_passages, grades, lexicon, profile, prose, read_passages, style, validate, word_of
 
 EASY = ["The cat is big. I see it.", "My dog ran. It was red.", "He has a hat. We go now.", "Look at it. She is old."]
 HARD = ["Epistemological commensurability presupposes intersubjective canonicalization.", "Probabilistic heterogeneity necessitates systematic differentiation.", "Asymptotic parameterization circumscribes teleological interoperability.", "Counterfactual monotonicity problematizes constitutive intentionality."]
@@ -17,10 +16,20 @@ def test_prose():
     text = "user: ```\nx = 1\n```\nassistant: - sessions/a/b.json\n[10:00:00] INFO a.b ms=1\n{\"id\": 1}\n| a | b |\n# Title\nThe cat sees `code` here.\n用户：你好。\n- src/a.py"
     assert prose(text).split() == ["The", "cat", "sees", "here.", "你好。"]
     assert [word_of(t) for t in ("Cat,", "fooBar", "a1", "x/y", "«Haus»", "--", "ABC")] == ["cat", None, None, None, "haus", None, "abc"]
-    assert counted("```\nnever closed") == (False, {}, 0)
+    assert counted("```\nnever closed")[:3] == (False, {}, 0)
     assert counted("中文字")[0] and dict(counted("中文，字好")[1]) == {"中文": 1, "字好": 1}
 
 
+def test_style():
+    plain = style("The cat is big. The cat is red.", False, counted("The cat is big. The cat is red.")[1])
+    long = "Although the cat, which is big, was seen because it is red, it ran. However, dogs sleep."
+    hard = style(long, False, counted(long)[1])
+    assert len(plain) == len(hard) == STYLE and hard[0] > plain[0] and hard[1] > plain[1] == 0 and hard[3] > plain[3] == 0 and hard[4] > plain[4] == 0 and hard[5] > plain[5] == 0 and plain[6] > hard[6]
+    zh = "虽然灯很小，但是红鸟很高。红鸟很高。"
+    assert style(zh, True, counted(zh)[1])[3:6] == (0.5, pytest.approx(1 / 12), pytest.approx(1 / 12)) and style("", True, counted("")[1]) == (0.0,) * STYLE
+    assert all(np.isfinite(style(t, False, counted(t)[1])).all() for t in ("x", "a b", "." * 1000, "a. " * 100_000))
+
+
 def test_trees():
     rnd = np.random.default_rng(0)
     x = rnd.uniform(size=(600, 4))
@@ -83,4 +92,6 @@ def test_passages_table(spark):
 def test_held_out_accuracy(spark):
     model = fit_passages(spark.read.parquet("/root/testdata/sf0.001/level_passages.parquet"))
     assert set(model.errors) == {"en", "de", "zh"} and all(e[1] < 0.2 and e[2] > 0.97 for e in model.errors.values())
-    assert rows(spark.createDataFrame([(1,)], "a int")) == [(1,)]
+    passages = read_passages(spark.read.parquet("/root/testdata/sf0.001/level_passages.parquet"))
+    unseen, bare = validate(passages), validate(passages, vocabulary=False)
+    assert all(e[1] < 0.15 and e[2] > 0.95 for e in unseen.values()) and all(e[1] < 0.5 for e in bare.values())
