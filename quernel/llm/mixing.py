@@ -18,7 +18,6 @@ from quernel.session import checked_broadcast
 
 #: Sources a table of targets may name; their totals are gathered on the driver.
 MOST_SOURCES = 10_000
-LEAST_PART = 0.25
 
 
 @dataclass
@@ -29,7 +28,7 @@ class Source:
     rate: float = 0.0
 
 
-def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: float | None = None, least_part: float = LEAST_PART) -> dict[str, Source]:
+def rates(targets: dict[str, tuple[float, int]], have: dict[str, int], total: float | None = None, least_part: float = 0.0) -> dict[str, Source]:
     """Shares are scaled to the sources that have tokens. Beyond the greatest total that keeps all shares, sources at
     their cap stay there and the others take up what is missing, in proportion, until all are at their caps."""
     held = {s: Source(share, cap, have[s]) for s, (share, cap) in targets.items() if have.get(s, 0) > 0 and share > 0 and cap > 0}

@@ -68,12 +68,12 @@ def frequent_pairs(members: DataFrame, limits: Thresholds = Thresholds()) -> Dat
     support = members.groupBy("item").agg(F.count("*").alias("support")).where((F.col("support") >= least) & (F.col("support") * limits.lift <= n))
     # codes follow no order; the table is written, so they don't change when a task is run again
     items = materialise(support.withColumn("code", F.monotonically_increasing_id()), "items")
-    kept = materialise(members.join(checked_broadcast(items.select("item", "code")), "item").select("basket", "code"), "kept")
+    kept = materialise(members.join(checked_broadcast(items.select("item", "code"), written=True), "item").select("basket", "code"), "kept")
     sizes = kept.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > LARGE)
     large = materialise(sizes, "large")
     joined = materialise(large.orderBy(F.desc("size"), "basket").limit(min(least - 1, MOST_JOINED)).select("basket"), "joined")
     h = joined.count()
-    small = kept.join(checked_broadcast(large.select("basket")), "basket", "left_anti")
+    small = kept.join(checked_broadcast(large.select("basket"), written=True), "basket", "left_anti")
     collapsed = small.groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("items")).where(F.size("items") > 1).groupBy("items").agg(F.count("*").alias("weight"))
     pairs = _pairs_of(collapsed)
     if large.count() > h:
@@ -90,7 +90,7 @@ def frequent_pairs(members: DataFrame, limits: Thresholds = Thresholds()) -> Dat
     else:
         counted = counted.withColumn("hot", F.lit(0))
     counted = counted.select("code_a", "code_b", (F.col("cold") + F.coalesce("hot", F.lit(0))).alias("together")).where(F.col("together") >= least)
-    side = lambda k: checked_broadcast(items.select(F.col("code").alias(f"code_{k}"), F.col("item").alias(f"id_{k}"), F.col("support").alias(f"count_{k}")))
+    side = lambda k: checked_broadcast(items.select(F.col("code").alias(f"code_{k}"), F.col("item").alias(f"id_{k}"), F.col("support").alias(f"count_{k}")), written=True)
     scored = counted.join(side("a"), "code_a").join(side("b"), "code_b")
     exact = "decimal(38,0)"
     scored = scored.where(F.col("together").cast(exact) * n >= F.col("count_a").cast(exact) * F.col("count_b") * limits.lift)
@@ -107,7 +107,7 @@ def frequent_pairs(members: DataFrame, limits: Thresholds = Thresholds()) -> Dat
 def _block_pairs(kept: DataFrame, large: DataFrame) -> DataFrame:
     """The pairs of large baskets, block against block; a block has about LARGE items, whatever the basket's size."""
     blocks = F.ceil(F.col("size") / LARGE)
-    placed = kept.join(checked_broadcast(large), "basket").select("basket", "code", blocks.alias("blocks"), F.pmod(F.xxhash64("code"), blocks).alias("block"))
+    placed = kept.join(checked_broadcast(large, written=True), "basket").select("basket", "code", blocks.alias("blocks"), F.pmod(F.xxhash64("code"), blocks).alias("block"))
     gathered = placed.groupBy("basket", "blocks", "block").agg(F.collect_list("code").alias("codes"))
     gathered = materialise(gathered, "blocks")
     other = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other")

@@ -100,7 +100,9 @@ def test_rates():
     more = rates({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 1000, "b": 100}, 1000)
     assert more["b"].rate == 2 and more["a"].rate == pytest.approx(0.8)
     assert all(x.rate == x.cap for x in rates({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 10, "b": 10}, 10**9).values())
-    scarce = rates({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 1000, "b": 1})
+    kept = rates({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 1000, "b": 10})  # shares are held, however small the mixture
+    assert kept["b"].rate == 2 and kept["a"].rate == pytest.approx(0.02)
+    scarce = rates({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 1000, "b": 1}, least_part=0.25)
     assert scarce["b"].rate == 2 and scarce["a"].rate == pytest.approx((1001 / 4 - 2) / 1000)
     assert rates({}, {"a": 1}) == {} and rates({"a": (1.0, 1)}, {}) == {}
 
