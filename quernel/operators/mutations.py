@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import clean, file_stem
+from quernel.session import materialise
 
 #: The names of the tools that write.
 WRITE_TOOLS = ("add_entity", "add_relationship", "record_decision", "update_node", "delete_node")
@@ -51,25 +52,45 @@ def route(log: DataFrame) -> DataFrame:
 
     The session is the argument `conversation`; else that of the metadata; else the owner, as of this write and with it
     done, of the first entity, then `node_id`, then `id` that has one; else none. Relations have no owner to fall back on. The
-    lookup as of a write is a window over each id's writes and questions together; no write is compared with another.
+    lookup as of a write is a window over each id's writes and questions together, cut into ranges; no write is compared with another.
     """
     log = write_tools(log)
-    given = F.coalesce(_text("$.conversation"), _text("$.metadata.conversation"))
-    entities = F.coalesce(F.from_json(_arg("$.entities"), "array<string>"), F.array().cast("array<string>"))
-    asked = F.filter(F.concat(entities, F.array(_text_as_is("$.node_id"), _text_as_is("$.id"))), lambda x: F.trim(x) != "")
-    base = log.select("seq", "tool", given.alias("given"), asked.alias("asked"))
+    base = materialise(_asked(log), "asked")
     questions = base.where("given is null").select("seq", F.posexplode("asked").alias("k", "id"))
     events = owners(log).select("id", "seq", F.lit(0).alias("kind"), F.struct("owner").alias("state"), F.lit(None).cast("int").alias("k")).unionByName(
         questions.select("id", "seq", F.lit(1).alias("kind"), F.lit(None).cast("struct<owner:string>").alias("state"), "k")
     )
-    known = F.last("state", ignorenulls=True).over(Window.partitionBy("id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = events.withColumn("known", known).where("kind = 1 and known.owner is not null").groupBy("seq").agg(F.min(F.struct("k", "known.owner")).alias("f"))
+    # ranges of (id, seq) of about equal size: an id that many writes name is many ranges, with its state carried into each
+    order = ["id", "seq", "kind"]
+    placed = materialise(events.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    tail = F.max(F.when(F.col("kind") == 0, F.struct("id", "seq", "state")))
+    bounds = materialise(placed.groupBy("part").agg(F.min("id").alias("head"), tail.alias("tail")), "bounds")  # a row a range
+    none = F.lit(None).cast("struct<owner:string>").alias("state")
+    marks = bounds.select(F.col("head").alias("id"), "part", none, F.lit(True).alias("asks")).unionByName(bounds.where("tail is not null").select("tail.id", "part", "tail.state", F.lit(False).alias("asks")))
+    before = Window.partitionBy("id").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("state", F.last("state", ignorenulls=True).over(before)).where("asks and state is not null")
+    carried = carried.select("id", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).alias("kind"), "state", F.lit(None).cast("int").alias("k"), "part")
+    known = F.last("state", ignorenulls=True).over(Window.partitionBy("part", "id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = carried.unionByName(placed).withColumn("known", known).where("kind = 1 and known.owner is not null").groupBy("seq").agg(F.min(F.struct("k", "known.owner")).alias("f"))
     out = base.join(found, "seq", "left")
     session = F.coalesce("given", "f.owner")
     how = F.when(F.col("given").isNotNull(), "given").when(F.col("f").isNotNull(), "owner").otherwise("merged only")
     return out.select("seq", "tool", session.alias("session"), file_stem(session, "unknown").alias("file"), how.alias("how"))
 
 
+def _asked(log: DataFrame) -> DataFrame:
+    """seq, tool, given (the session that the write names), asked (the ids whose owner it may fall back on, in order)."""
+    given = F.coalesce(_text("$.conversation"), _text("$.metadata.conversation"))
+    entities = F.coalesce(F.from_json(_arg("$.entities"), "array<string>"), F.array().cast("array<string>"))
+    asked = F.filter(F.concat(entities, F.array(_text_as_is("$.node_id"), _text_as_is("$.id"))), lambda x: F.trim(x) != "")
+    return log.select("seq", "tool", given.alias("given"), asked.alias("asked"))
+
+
+def asked_ids(log: DataFrame) -> DataFrame:
+    """The ids whose owner decides where one of the writes goes."""
+    return _asked(log).where("given is null").select(F.explode("asked").alias("id"))
+
+
 def _text_as_is(path: str) -> Column:
     v = F.try_variant_get(F.try_parse_json("args"), path, "variant")
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +41,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one table in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for made in _MADE:
+        made.append(path)
     return path
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are made inside when it is left, for work that goes on and on, such as micro-batches."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
