@@ -69,11 +69,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts lineage and survives the loss of executors, as the files lie in the shared folder."""
+#: Bytes of code up to which the JVM compiles a method; beyond, it runs it step by step.
+COMPILED = "8000"
+
+
+def materialise(df: DataFrame, name: str, large_code: bool = False) -> DataFrame:
+    """Write once, read back: cuts lineage and survives the loss of executors, as the files lie in the shared folder.
+    `large_code`: the expressions are so many that one method for the whole stage wouldn't be compiled; they are split then."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    if large_code:
+        spark.conf.set(limit, COMPILED)
+    try:
+        df.write.parquet(path)
+    finally:
+        if large_code:
+            spark.conf.set(limit, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
