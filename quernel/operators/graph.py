@@ -5,22 +5,28 @@ Nodes are numbered by `pos`; only numbers are shuffled in the loops.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import is_semantic
-from quernel.session import materialise
+from quernel.session import materialise, remove
 
 DAMPING, ROUNDS = 0.85, 20
 #: Rounds of the walk in one plan, between two tables.
 CHUNK = 7
 SWEEPS = 10
-#: Links of a component up to which one task sweeps it; larger ones are swept as a wave over the cluster.
-ONE_TASK = 2_000_000
+#: Links up to which one task sweeps the graph; larger graphs are swept by blocks of so many.
+ONE_TASK = 4_000_000
+#: A block's links; its labels (OWN: `n` has those before the sweep) and labels of nodes `n` that blocks before and after it send.
+PACKED = "block int, ids binary, ghosts binary, size binary, places binary, to binary, bounds binary"
+TURNED = "block int, kind int, turn int, number int, changed bigint, n binary, label binary"
+OWN, BEFORE, AFTER = 0, 1, 2
 
 
 def numbered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,59 +154,62 @@ def levels_of(node: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     return level
 
 
-def sweep(a: np.ndarray, b: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Labels after in-order label propagation over directed pairs a -> b, both directions present; nodes in order of their
-    numbers, each at once seen by the next. Keeps its label unless another has strictly more neighbours; smallest first.
+def take_turns(node: np.ndarray, to: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> bool:
+    """One sweep, in place: links node -> to in the order of the nodes' levels, which end at `bounds`; `label` by number of
+    the node, below its own length. Whether any has changed.
 
     Nodes of one level have no links among themselves, so a level is voted on at once and gives what their order gives."""
-    ids = np.unique(a)
-    n = len(ids)
-    order = np.argsort(a, kind="stable")
-    node, to = np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order])
-    level = levels_of(node, to, n)
+    n, changed = len(label), False
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        votes, count = np.unique(node[i:j].astype(np.int64) * n + label[to[i:j]], return_counts=True)
+        who, what = votes // n, votes % n
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        mine = who[first]
+        if not len(mine):
+            continue
+        most = np.maximum.reduceat(count, first)
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(who))))
+        own = np.zeros(len(first), np.int64)
+        same = what == label[who]
+        own[place[same]] = count[same]
+        top = np.flatnonzero(count == most[place])
+        top = top[np.diff(place[top], prepend=-1) > 0]  # labels rise within a node: the first is the smallest
+        move = most > own
+        if move.any():
+            label[mine[move]] = what[top][move]
+            changed = True
+    return changed
+
+
+def by_level(node: np.ndarray, to: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, to and the ends of levels for `take_turns`. `node` is sorted and below n; what is not has no turn here."""
+    inner = to < n
+    level = levels_of(node[inner], to[inner], n)
     order = np.argsort(level[node], kind="stable")
     node, to = node[order], to[order]
-    bounds = np.searchsorted(level[node], np.arange((level.max() if n else 0) + 2))
-    label = np.arange(n)
+    return node.astype(np.int32), to.astype(np.int32), np.searchsorted(level[node], np.arange((level.max() if n else 0) + 2))
+
+
+def sweep(a: np.ndarray, b: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after in-order label propagation over directed pairs a -> b, both directions present; nodes in order of their
+    numbers, each at once seen by the next. Keeps its label unless another has strictly more neighbours; smallest first."""
+    ids = np.unique(a)
+    order = np.argsort(a, kind="stable")
+    node, to, bounds = by_level(np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order]), len(ids))
+    label = np.arange(len(ids))
     for _ in range(sweeps):
-        changed = False
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            votes, count = np.unique(node[i:j] * n + label[to[i:j]], return_counts=True)
-            who, what = votes // n, votes % n
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            mine = who[first]
-            most = np.maximum.reduceat(count, first)
-            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(who))))
-            own = np.zeros(len(first), np.int64)
-            same = what == label[who]
-            own[place[same]] = count[same]
-            top = np.flatnonzero(count == most[place])
-            top = top[np.diff(place[top], prepend=-1) > 0]  # labels rise within a node: the first is the smallest
-            move = most > own
-            if move.any():
-                label[mine[move]] = what[top][move]
-                changed = True
-        if not changed:
+        if not take_turns(node, to, bounds, label):
             break
     return ids, ids[label]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK, within: DataFrame | None = None) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK, around: DataFrame | None = None) -> DataFrame:
     """pos, community: the label (a pos) that in-order propagation leaves, nodes without neighbours keep their own.
-    `within`: the nodes' components, where they are known already.
-
-    Labels only cross links, so components are swept apart, each in its own order: the same as one sweep over all.
-    Components of more than `one_task` links are swept as a wave: a node takes its turn once all smaller neighbours have
-    had theirs in this sweep and all larger ones in the last, which gives the same labels without one task holding all.
-    """
-    around = materialise(neighbours(numbered(nodes, edges)).where("a <> b"), "around")
-    within = components(nodes, edges) if within is None else within
-    placed = materialise(around.join(within.select(F.col("pos").alias("a"), "component"), "a"), "placed")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("links"))
-    giant = materialise(sizes.where(F.col("links") > one_task).select("component"), "giant")
-    swept = placed.join(giant, "component", "left_anti").groupBy("component").applyInPandas(_sweep_group, "pos bigint, community bigint")
-    if not giant.isEmpty():
-        swept = swept.unionByName(wave(placed.join(giant, "component", "left_semi").select("a", "b")))
+    `around`: the nodes' neighbours, where they are written already."""
+    around = materialise(neighbours(numbered(nodes, edges)), "around") if around is None else around
+    around = around.where("a <> b")
+    links = around.count()
+    swept = around.groupBy(F.lit(0).alias("all")).applyInPandas(_sweep_group, "pos bigint, community bigint") if links <= one_task else relay(around, links, one_task)
     return nodes.select("pos").join(swept, "pos", "left").select("pos", F.coalesce("community", "pos").alias("community"))
 
 
@@ -209,24 +218,122 @@ def _sweep_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pos": ids, "community": labels})
 
 
-def wave(around: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """The labels of `sweep`, found by rounds over the cluster. A node has had `turn` turns; its next one is due when its
-    smaller neighbours have had one more and its larger ones as many. None of them can be further on than that, as they
-    wait for this node, so the labels they show are those that the order asks for."""
-    around = materialise(around.repartition("a"), "around")
-    state = materialise(around.select(F.col("a").alias("n")).distinct().select("n", F.lit(0).alias("turn"), F.col("n").alias("label")), "wave")
-    while not state.where(F.col("turn") < sweeps).isEmpty():
-        mine = state.select(F.col("n").alias("a"), F.col("turn").alias("my_turn"), F.col("label").alias("my_label")).where(F.col("my_turn") < sweeps)
-        seen = around.join(mine, "a").join(state.withColumnRenamed("n", "b"), "b")
-        due = F.col("turn") >= F.col("my_turn") + F.when(F.col("b") < F.col("a"), 1).otherwise(0)
-        votes = seen.groupBy("a", "my_label", "label").agg(F.count("*").alias("votes"), F.min(due.cast("int")).alias("due"))
-        most = F.max(F.struct("votes", (-F.col("label")).alias("minus"))).alias("most")
-        best = votes.groupBy("a", "my_label").agg(F.min("due").alias("due"), most, F.max(F.when(F.col("label") == F.col("my_label"), F.col("votes"))).alias("own"))
-        new = F.when(F.col("most.votes") > F.coalesce("own", F.lit(0)), -F.col("most.minus")).otherwise(F.col("my_label"))
-        moved = best.where("due = 1").select(F.col("a").alias("n"), new.alias("new"))
-        step = F.when(F.col("new").isNotNull(), 1).otherwise(0)
-        state = materialise(state.join(moved, "n", "left").select("n", (F.col("turn") + step).alias("turn"), F.coalesce("new", "label").alias("label")), "wave")
-    return state.select(F.col("n").alias("pos"), F.col("label").alias("community"))
+def _block(ends: list[int], low: int, high: int) -> Column:
+    """The place of `a` among the ends, by halves."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(F.col("a") <= ends[mid], _block(ends, low, mid)).otherwise(_block(ends, mid + 1, high))
+
+
+def relay(around: DataFrame, links: int, one_task: int, sweeps: int = SWEEPS) -> DataFrame:
+    """The labels of `sweep`, by blocks: ranges of nodes of about `one_task` links each (a single node's links aren't cut), so
+    that each task holds one block.
+
+    All blocks sweep at once, with the labels of the blocks before them as far as they are known; those for which some of these
+    turn out otherwise sweep again, from the labels that they had at first. Labels of the blocks after them are those of the
+    sweep before. As nodes only wait for smaller ones, the first block is right at once and each round settles one more block
+    and one more level of the order at least, so a sweep has at most as many rounds as there are blocks, or levels; when no
+    label is new, it is the one that the order gives.
+
+    Blocks are rows with packed arrays: what links there are (placed by block once), labels of the block's and the neighbouring
+    nodes as of its last turn, and labels that changed on other blocks since.
+    """
+    spark = around.sparkSession
+    many = -(-links // max(one_task, 1))
+    ends = sorted(set(around.agg(F.percentile_approx("a", [k / many for k in range(1, many)], 100 * many)).first()[0]))
+    placed = around.select(_block(ends, 0, len(ends)).alias("block"), "a", "b")
+    blocks = materialise(placed.groupBy("block").applyInPandas(lambda pdf: _packed(pdf, ends), PACKED), "blocks")
+    moved = {r.block for r in blocks.select("block").collect()}  # blocks whose labels this sweep has changed, all of them at first
+    fixed = blocks.repartition(4 * len(moved), "block").persist(StorageLevel.DISK_ONLY)
+    last: dict[int, DataFrame] = {}  # the table with a block's labels
+    later: dict[int, list[DataFrame]] = {}  # tables with labels that a block sees in the next sweep
+    number = 0
+    for turn in range(sweeps):
+        inbox, later, kind = later, {}, AFTER
+        active, moved = moved | set(inbox), set()
+        while active:
+            tables = {id(t): t for t in [*(last[k] for k in active & set(last)), *(t for ts in inbox.values() for t in ts)]}
+            parts = [spark.createDataFrame([], TURNED)]
+            for i, table in tables.items():
+                own, sent = [k for k in active if id(last.get(k)) == i], [k for k, ts in inbox.items() if any(id(t) == i for t in ts)]
+                parts.append(table.where((F.col("kind") == OWN) & F.col("block").isin(own) | (F.col("kind") == kind) & F.col("block").isin(sent)))
+            known = reduce(DataFrame.unionByName, parts).groupBy("block")
+            turned = materialise(fixed.where(F.col("block").isin(list(active))).groupBy("block").cogroup(known).applyInPandas(_turn(ends, turn, number), TURNED), "turn")
+            old = {id(t): t for ts in ([*last.values()], *inbox.values()) for t in ts}
+            last |= dict.fromkeys(active, turned)
+            moved -= active
+            inbox, kind, number = {}, BEFORE, number + 1
+            for r in turned.where("changed > 0").select("block", "kind").distinct().collect():
+                if r.kind == OWN:
+                    moved.add(r.block)
+                else:
+                    (inbox if r.kind == BEFORE else later).setdefault(r.block, []).append(turned)
+            active = set(inbox)
+            needed = {id(t) for ts in ([*last.values()], *later.values()) for t in ts}
+            for i, table in old.items():
+                if i not in needed:
+                    remove(table)
+        if not moved and not later:
+            break
+    held = [t.where((F.col("kind") == OWN) & F.col("block").isin([k for k, x in last.items() if x is t])) for t in {id(t): t for t in last.values()}.values()]
+    labels = reduce(DataFrame.unionByName, held).select("block", "label").join(blocks.select("block", "ids"), "block")
+    swept = materialise(labels.mapInPandas(_unpacked, "pos bigint, community bigint"), "swept")
+    fixed.unpersist()
+    return swept
+
+
+def _packed(pdf: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+    """One row: the block's nodes and the neighbours in others by number (ids, then ghosts), links in the order of `by_level`
+    as runs of a node's (`places`, each of `size`)."""
+    a, b, block = pdf["a"].to_numpy(), pdf["b"].to_numpy(), int(pdf["block"].iloc[0])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    ids, inside = np.unique(a), np.searchsorted(ends, b) == block
+    ghosts = np.unique(b[~inside])
+    to = np.where(inside, np.searchsorted(ids, b), len(ids) + np.searchsorted(ghosts, b))
+    node, to, bounds = by_level(np.searchsorted(ids, a), to, len(ids))
+    first = np.flatnonzero(np.diff(node, prepend=-1))
+    size = np.diff(np.append(first, len(node))).astype(np.int32)
+    arrays = {"ids": ids, "ghosts": ghosts, "size": size, "places": node[first], "to": to, "bounds": bounds}
+    return pd.DataFrame([{"block": block} | {k: v.tobytes() for k, v in arrays.items()}])
+
+
+def _turn(ends: list[int], turn: int, number: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The block's labels after this sweep, as far as is known, and for each block around those that it doesn't know yet."""
+
+    def run(fixed: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        row = fixed.iloc[0]
+        ids, ghosts, bounds = (np.frombuffer(row[c], np.int64) for c in ("ids", "ghosts", "bounds"))
+        size, places, to = (np.frombuffer(row[c], np.int32) for c in ("size", "places", "to"))
+        node, n, block = np.repeat(places, size), len(ids), int(row["block"])
+        label, before = np.concatenate((ids, ghosts)), ids
+        for r in rows[rows["kind"] == OWN].itertuples():
+            label = np.frombuffer(r.label, np.int64).copy()
+            before = np.frombuffer(r.n, np.int64) if r.turn == turn else label[:n].copy()
+        for r in rows[rows["kind"] != OWN].sort_values("number", kind="stable").itertuples():
+            label[n + np.searchsorted(ghosts, np.frombuffer(r.n, np.int64))] = np.frombuffer(r.label, np.int64)
+        told = label[:n].copy()
+        label[:n] = before
+        known, code = np.unique(label, return_inverse=True)
+        take_turns(node, to, bounds, code)
+        label[:n] = known[code[:n]]
+        out = [(block, OWN, turn, number, int((label[:n] != before).sum()), before.tobytes(), label.tobytes())]
+        across = (to >= n) & (label[:n] != told)[node]
+        pairs = np.unique(np.searchsorted(ends, ghosts)[to[across] - n] * n + node[across])
+        for k in np.unique(pairs // n).tolist():
+            mine = pairs[pairs // n == k] % n
+            out.append((k, BEFORE if block < k else AFTER, turn, number, len(mine), ids[mine].tobytes(), label[mine].tobytes()))
+        return pd.DataFrame(out, columns=["block", "kind", "turn", "number", "changed", "n", "label"])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples():
+            ids = np.frombuffer(r.ids, np.int64)
+            yield pd.DataFrame({"pos": ids, "community": np.frombuffer(r.label, np.int64)[: len(ids)]})
 
 
 def community_list(nodes: DataFrame, edges: DataFrame, top: int = 12, members: int = 10) -> tuple[DataFrame, DataFrame]:

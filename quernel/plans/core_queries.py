@@ -289,7 +289,7 @@ def overview(spark, sf_dir):
     g = _clean(spark, sf_dir)
     within = materialise(graph.components(g.nodes, g.edges), "components")
     sizes = within.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = graph.communities(g.nodes, g.edges, within=within).groupBy("community").agg(F.count("*").alias("size"))
+    grouped = graph.communities(g.nodes, g.edges).groupBy("community").agg(F.count("*").alias("size"))
     parts = [
         scope.summarise(g.nodes, g.edges),
         sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),

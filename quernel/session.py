@@ -90,6 +90,12 @@ def materialise(df: DataFrame, name: str, large_code: bool = False) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Removes a table that `materialise` gave and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES, written: bool = False) -> DataFrame:
     """Hint a broadcast only when the table is found to be small, in rows and in bytes; otherwise leave the join to the
     planner. The table is written first, so that nothing behind it runs a second time, unless it is one that `materialise`

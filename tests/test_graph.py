@@ -101,6 +101,18 @@ def test_communities_in_one_task_and_as_a_wave(spark):
     assert members.where("type = 'decision'").count() == 0
 
 
+def test_communities_by_blocks(spark, monkeypatch):
+    """Rounds follow the blocks, not the longest chain of the order."""
+    rounds, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (rounds.append(name), write(df, name))[1])
+    path = [(k, k + 1, "a") for k in range(59)]
+    for n, pairs, most in ((60, path, 20), (60, path[::-1] + [(0, 59, "a"), (3, 59, "b")], 20), (40, drawn(7, 40, 70), 50)):
+        rounds.clear()
+        nodes, edges = frames(spark, n, pairs)
+        assert rows(graph.communities(nodes, edges, one_task=45)) == sorted(((k * 3, x * 3) for k, x in enumerate(labels(n, pairs))), key=repr)
+        assert 3 <= len(rounds) <= most
+
+
 def test_degrees(spark):
     pairs = [(0, 1, "a"), (0, 1, "b"), (1, 0, "a"), (2, 2, "a"), (3, 0, "a"), (0, 1, "a")]
     nodes, edges = frames(spark, 5, pairs)
