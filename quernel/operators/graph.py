@@ -40,9 +40,10 @@ def neighbours(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """pos, id, type, label, degree: distinct neighbours in either direction."""
-    count = neighbours(numbered(nodes, edges)).groupBy("a").agg(F.count("*").alias("degree"))
+def degrees(nodes: DataFrame, edges: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """pos, id, type, label, degree: distinct neighbours in either direction. `around`: these, where they are written already."""
+    around = neighbours(numbered(nodes, edges)) if around is None else around
+    count = around.groupBy("a").agg(F.count("*").alias("degree"))
     return nodes.join(count, nodes["pos"] == count["a"], "left").select("pos", "id", "type", "label", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"))
 
 
@@ -339,10 +340,11 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def community_list(nodes: DataFrame, edges: DataFrame, top: int = 12, members: int = 10) -> tuple[DataFrame, DataFrame]:
     """The largest communities of more than one node (ties: the one whose first node comes first), and their entities of
     highest degree."""
-    of = materialise(communities(nodes, edges), "communities")
+    around = materialise(neighbours(numbered(nodes, edges)), "around")
+    of = materialise(communities(nodes, edges, around=around), "communities")
     largest = of.groupBy("community").agg(F.count("*").alias("size"), F.min("pos").alias("first")).where("size > 1").orderBy(F.desc("size"), "first").limit(top)
     largest = materialise(largest, "largest")
-    entities = degrees(nodes, edges).where(is_semantic(F.col("type"))).join(of, "pos").join(F.broadcast(largest.select("community")), "community", "left_semi")
+    entities = degrees(nodes, edges, around).where(is_semantic(F.col("type"))).join(of, "pos").join(F.broadcast(largest.select("community")), "community", "left_semi")
     place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "pos"))
     best = entities.withColumn("place", place).where(F.col("place") <= members).select("community", "place", "id", "label", F.coalesce("type", F.lit("")).alias("type"), "degree")
     return largest.select("community", "size"), best

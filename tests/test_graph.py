@@ -113,6 +113,15 @@ def test_communities_by_blocks(spark, monkeypatch):
         assert 3 <= len(rounds) <= most
 
 
+def test_community_list_numbers_links_once(spark, monkeypatch):
+    calls, number = [], graph.numbered
+    monkeypatch.setattr(graph, "numbered", lambda *x: (calls.append(1), number(*x))[1])
+    nodes, edges = frames(spark, 5, [(0, 1, "a"), (1, 2, "a"), (3, 4, "b"), (0, 2, "a")])
+    largest, members = graph.community_list(nodes, edges)
+    assert rows(largest) == [(12, 2), (3, 3)] and len(calls) == 1
+    assert rows(members.select("community", "place", "id", "degree")) == [(12, 1, "n3", 1), (12, 2, "n4", 1), (3, 1, "n0", 2), (3, 2, "n1", 2), (3, 3, "n2", 2)]
+
+
 def test_degrees(spark):
     pairs = [(0, 1, "a"), (0, 1, "b"), (1, 0, "a"), (2, 2, "a"), (3, 0, "a"), (0, 1, "a")]
     nodes, edges = frames(spark, 5, pairs)
