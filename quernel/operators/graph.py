@@ -52,8 +52,8 @@ def out_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(count, nodes["pos"] == count["a"]).select("id", "out_degree")
 
 
-def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return degrees(nodes, edges).where((F.col("degree") == 0) & is_semantic(F.col("type"))).select("id")
+def isolated(nodes: DataFrame, edges: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    return degrees(nodes, edges, around).where((F.col("degree") == 0) & is_semantic(F.col("type"))).select("id")
 
 
 def hubs(scored: DataFrame, score: str, top: int = 15) -> DataFrame:
@@ -110,13 +110,17 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).join(pagerank(nodes, edges), "pos")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """pos, component: the smallest pos that the node is linked with, in either direction.
+def components(nodes: DataFrame, edges: DataFrame, around: DataFrame | None = None) -> DataFrame:
+    """pos, component: the smallest pos that the node is linked with, in either direction. `around`: the nodes' neighbours,
+    where they are written already.
 
     Alternating large and small stars: each node's larger neighbours, then its smaller ones, are hooked to its smallest,
     so the rounds grow with the logarithm of the longest chain.
     """
-    pairs = materialise(numbered(nodes, edges).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    if around is None:
+        pairs = materialise(numbered(nodes, edges).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    else:
+        pairs = around.where("a > b")
     held = pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

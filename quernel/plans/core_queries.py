@@ -287,13 +287,13 @@ def community_members(spark, sf_dir):
 def overview(spark, sf_dir):
     """Summary, components, isolated entities and communities of more than one node in one row."""
     g = _clean(spark, sf_dir)
-    within = materialise(graph.components(g.nodes, g.edges), "components")
-    sizes = within.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = graph.communities(g.nodes, g.edges).groupBy("community").agg(F.count("*").alias("size"))
+    around = materialise(graph.neighbours(graph.numbered(g.nodes, g.edges)), "around")
+    sizes = graph.components(g.nodes, g.edges, around).groupBy("component").agg(F.count("*").alias("size"))
+    grouped = graph.communities(g.nodes, g.edges, around=around).groupBy("community").agg(F.count("*").alias("size"))
     parts = [
         scope.summarise(g.nodes, g.edges),
         sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),
-        graph.isolated(g.nodes, g.edges).agg(F.count("*").alias("isolated")),
+        graph.isolated(g.nodes, g.edges, around).agg(F.count("*").alias("isolated")),
         grouped.agg(F.count_if(F.col("size") > 1).alias("communities")),
     ]
     out = parts[0].withColumn("k", F.lit(0))

@@ -7,6 +7,7 @@ import pytest
 
 from quernel.operators import graph
 from quernel.operators.scope import clean_edges, summarise
+from quernel.plans import core_queries, tables
 from tests.conftest import rows
 
 NODES = "pos bigint, id string, type string, label string, status string, tags array<string>"
@@ -113,6 +114,15 @@ def test_communities_by_blocks(spark, monkeypatch):
         assert 3 <= len(rounds) <= most
 
 
+def test_overview_numbers_links_once(spark, monkeypatch):
+    calls, number = [], graph.numbered
+    monkeypatch.setattr(graph, "numbered", lambda *x: (calls.append(1), number(*x))[1])
+    nodes, edges = frames(spark, 6, [(0, 1, "a"), (1, 2, "a"), (3, 4, "b"), (0, 2, "a")])
+    monkeypatch.setattr(core_queries, "_clean", lambda *_: tables.Graph(nodes, edges))
+    got = core_queries.overview(spark, "").first()
+    assert (got.components, got.largest_component, got.isolated, got.communities, got.nodes, got.edges) == (3, 3, 1, 2, 6, 4) and len(calls) == 1
+
+
 def test_community_list_numbers_links_once(spark, monkeypatch):
     calls, number = [], graph.numbered
     monkeypatch.setattr(graph, "numbered", lambda *x: (calls.append(1), number(*x))[1])
