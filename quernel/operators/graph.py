@@ -21,8 +21,8 @@ DAMPING, ROUNDS = 0.85, 20
 #: Rounds of the walk in one plan, between two tables.
 CHUNK = 7
 SWEEPS = 10
-#: Links up to which one task sweeps the graph; larger graphs are swept by blocks of so many.
-ONE_TASK = 4_000_000
+#: Links up to which one task sweeps the graph; larger graphs are swept by blocks of BLOCK links, as an executor holds one for each core.
+ONE_TASK, BLOCK = 4_000_000, 1_000_000
 #: A block's links; its labels (OWN: `n` has those before the sweep) and labels of nodes `n` that blocks before and after it send.
 PACKED = "block int, ids binary, ghosts binary, size binary, places binary, to binary, bounds binary"
 TURNED = "block int, kind int, turn int, number int, changed bigint, n binary, label binary"
@@ -208,13 +208,13 @@ def sweep(a: np.ndarray, b: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarra
     return ids, ids[label]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK, around: DataFrame | None = None) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK, around: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """pos, community: the label (a pos) that in-order propagation leaves, nodes without neighbours keep their own.
     `around`: the nodes' neighbours, where they are written already."""
     around = materialise(neighbours(numbered(nodes, edges)), "around") if around is None else around
     around = around.where("a <> b")
     links = around.count()
-    swept = around.groupBy(F.lit(0).alias("all")).applyInPandas(_sweep_group, "pos bigint, community bigint") if links <= one_task else relay(around, links, one_task)
+    swept = around.groupBy(F.lit(0).alias("all")).applyInPandas(_sweep_group, "pos bigint, community bigint") if links <= one_task else relay(around, links, min(one_task, block))
     return nodes.select("pos").join(swept, "pos", "left").select("pos", F.coalesce("community", "pos").alias("community"))
 
 
@@ -231,8 +231,8 @@ def _block(ends: list[int], low: int, high: int) -> Column:
     return F.when(F.col("a") <= ends[mid], _block(ends, low, mid)).otherwise(_block(ends, mid + 1, high))
 
 
-def relay(around: DataFrame, links: int, one_task: int, sweeps: int = SWEEPS) -> DataFrame:
-    """The labels of `sweep`, by blocks: ranges of nodes of about `one_task` links each (a single node's links aren't cut), so
+def relay(around: DataFrame, links: int, block: int, sweeps: int = SWEEPS) -> DataFrame:
+    """The labels of `sweep`, by blocks: ranges of nodes of about `block` links each (a single node's links aren't cut), so
     that each task holds one block.
 
     All blocks sweep at once, with the labels of the blocks before them as far as they are known; those for which some of these
@@ -245,12 +245,13 @@ def relay(around: DataFrame, links: int, one_task: int, sweeps: int = SWEEPS) ->
     nodes as of its last turn, and labels that changed on other blocks since.
     """
     spark = around.sparkSession
-    many = -(-links // max(one_task, 1))
+    many = -(-links // max(block, 1))
     ends = sorted(set(around.agg(F.percentile_approx("a", [k / many for k in range(1, many)], 100 * many)).first()[0]))
     placed = around.select(_block(ends, 0, len(ends)).alias("block"), "a", "b")
     blocks = materialise(placed.groupBy("block").applyInPandas(lambda pdf: _packed(pdf, ends), PACKED), "blocks")
     moved = {r.block for r in blocks.select("block").collect()}  # blocks whose labels this sweep has changed, all of them at first
-    fixed = blocks.repartition(4 * len(moved), "block").persist(StorageLevel.DISK_ONLY)
+    # a round has a task for each part, whether its blocks have a turn or not
+    fixed = blocks.repartition(min(4 * len(moved), max(len(moved), 24)), "block").persist(StorageLevel.DISK_ONLY)
     last: dict[int, DataFrame] = {}  # the table with a block's labels
     later: dict[int, list[DataFrame]] = {}  # tables with labels that a block sees in the next sweep
     number = 0

@@ -114,6 +114,17 @@ def test_communities_by_blocks(spark, monkeypatch):
         assert 3 <= len(rounds) <= most
 
 
+def test_blocks_are_smaller_than_what_one_task_sweeps(spark, monkeypatch):
+    """An executor holds a block for each core, the one task alone; rounds don't have four tasks for each of many blocks."""
+    made, write = {}, graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: made.setdefault(name, []).append(write(df, name)) or made[name][-1])
+    pairs = [(k, k + 1, "a") for k in range(79)]
+    nodes, edges = frames(spark, 80, pairs)
+    assert rows(graph.communities(nodes, edges, one_task=100, block=5)) == sorted(((k * 3, x * 3) for k, x in enumerate(labels(80, pairs))), key=repr)
+    sizes = [r[0] for r in made["blocks"][0].selectExpr("octet_length(to) div 4").collect()]
+    assert len(sizes) >= 24 and max(sizes) <= 5 + 2 and sum(sizes) == 2 * 79
+
+
 def test_overview_numbers_links_once(spark, monkeypatch):
     calls, number = [], graph.numbered
     monkeypatch.setattr(graph, "numbered", lambda *x: (calls.append(1), number(*x))[1])
